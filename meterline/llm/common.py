@@ -60,8 +60,8 @@ def runs(batches, key: str):
         keys = table.column(key).to_numpy()
         bounds = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         if len(bounds):
-            yield table.slice(0, int(bounds[-1])).combine_chunks(), [0, *bounds.tolist()]
+            yield table.slice(0, int(bounds[-1])).combine_chunks(), [0, *bounds[:-1].tolist()]
             table = table.slice(int(bounds[-1])).combine_chunks()
         rest = table
     if rest is not None:
-        yield rest.combine_chunks(), [0, rest.num_rows]
+        yield rest.combine_chunks(), [0]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .near_dedup import OP5_SQL, op5_near_dedup
 from .substring_dedup import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
+    "op5_near_dedup": op5_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_near_dedup": OP5_SQL,
     "op3_substring_dedup": OP3_SQL,
 }

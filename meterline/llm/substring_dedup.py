@@ -15,8 +15,8 @@ also starts earlier (smaller doc_id, or the same document, earlier start). Windo
 Two windows count as equal when anchor and window agree in two independent 64-bit fingerprints. No group is gathered into
 one task: hot anchors meet in joins whose large partitions adaptive execution splits, and in sums combined before the shuffle.
 
-Nulls: a null text has no words; a null doc_id orders before all others and returns as null. Rows repeated with the same
-doc_id and text are one document, and each is returned. Empty tables give empty results. Only the id, text and `carry`
+Nulls: a null text has no words; a document with a null doc_id has no place in the order, so it loses no words and takes
+none. Rows repeated with the same doc_id and text are one document, and each is returned. Empty tables give empty results. Only the id, text and `carry`
 columns are read; others, whatever their names, don't matter.
 """
 
@@ -31,7 +31,6 @@ from .common import cut, ship
 ship(__name__)
 
 WINDOW, SEED = 20, 6
-LEAST_ID = -(1 << 63)
 
 
 def _anchors_of(words, window: int, seed: int):
@@ -182,8 +181,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     if not 1 <= seed <= window:
         raise ValueError("a seed has at least one word and no more than a window")
-    documents = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
-    texts = documents.select("doc_id", "text")
+    documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
+    texts = documents.select("doc_id", "text").filter("doc_id is not null")
     anchors = texts.mapInArrow(_find(window, seed), "seed long, doc_id long, place int")
     repeated = anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("least")).filter("n > 1").select("seed", "least")
     met = anchors.join(repeated, "seed").select("doc_id", F.struct("place", (F.struct("doc_id", "place") == F.col("least")).alias("earliest")).alias("one"))
@@ -204,7 +203,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = packed(documents).join(gone, "doc_id", "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
     schema = StructType([f for f in joined.schema if f.name not in ("starts", "text")] + [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
     out = joined.mapInArrow(_cut_out(window, keep_unchanged), schema)
-    return out.select(F.when(F.col("doc_id") != LEAST_ID, F.col("doc_id")).alias("doc_id"), *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)], "n_words", "n_removed", "kept_text")
+    return out.select("doc_id", *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)], "n_words", "n_removed", "kept_text")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

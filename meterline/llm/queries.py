@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP10_SQL, op10_decontaminate
 from .near_dedup import OP5_SQL, op5_near_dedup
 from .substring_dedup import OP3_SQL, op3_substring_dedup
+from .token_count import op2_token_count
 
 QUERIES = {
+    "op2_token_count": op2_token_count,
+    "op10_decontaminate": op10_decontaminate,
     "op5_near_dedup": op5_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op10_decontaminate": OP10_SQL,
     "op5_near_dedup": OP5_SQL,
     "op3_substring_dedup": OP3_SQL,
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .chat import OP8_SQL, op8_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .near_dedup import OP5_SQL, op5_near_dedup
 from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .token_count import op2_token_count
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op7_warc": op7_warc,
+    "op8_chat_format": op8_chat_format,
     "op2_token_count": op2_token_count,
     "op10_decontaminate": op10_decontaminate,
     "op5_near_dedup": op5_near_dedup,
@@ -15,6 +19,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_warc": OP7_SQL,
+    "op8_chat_format": OP8_SQL,
     "op10_decontaminate": OP10_SQL,
     "op5_near_dedup": OP5_SQL,
     "op3_substring_dedup": OP3_SQL,

@@ -27,7 +27,7 @@ from .common import ship
 ship(__name__)
 
 MOST_TOXIC, MOST_CLEAN = 6_000, 12_000
-RATIO, LLR, LEAST, SHARE, CAP, BIAS, REJECT = 30.0, 28.0, 4, 0.01, 4.0, -3.0, 0.7
+RATIO, LLR, LEAST, SHARE, CAP, BIAS, REJECT = 100.0, 28.0, 4, 0.01, 4.0, -3.0, 0.7
 PREFIXES = (4, 5, 6)
 SYMBOLS = 28
 #: Signs and the letters for which they stand.
@@ -249,7 +249,7 @@ def _fit(batches):
     share = (a + b) / max(1.0, n1 + n0)
     part = lambda x, p: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(p, 1e-12)), 0)
     llr = 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
-    ratio = (a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))
+    ratio = (a + 0.25) / (n1 + 1) / ((b + 0.25) / (n0 + 1))
     good = (llr >= LLR) & (ratio >= RATIO)
     yield pa.RecordBatch.from_arrays([pa.array(candidates[good]), pa.array(np.minimum(np.log(ratio[good]), CAP))], ["feature", "weight"])
 

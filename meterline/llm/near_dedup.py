@@ -23,6 +23,8 @@ component_id is null, and it is kept. Rows repeated with the same doc_id and tex
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from .substring_dedup import packed
 ship(__name__)
 
 COORDS, TREES, BRANCH = 64, 8, 2
-NODE, CLUSTER, CLUSTER_TOKENS = 512, 2048, 1 << 21
+NODE, CLUSTER, CLUSTER_TOKENS = 1024, 4096, 1 << 22
 #: Of COORDS tokens, so many agree at least for a candidate link; two documents of similarity 0.8 miss this once in 1e8.
 AGREE = 30
 #: Of the pivot: within reach, and so close that all partners are within reach.
@@ -172,28 +174,46 @@ def _large_nodes(batches):
         )
 
 
-def _links(sets, percent: int):
-    """Which sets link: a matrix. Only tokens that two sets share count, in blocks of columns."""
+def _reach(sets, percent: int):
+    """Of each set, the number of the first set that links reach. A set that is reached meets only those not yet reached, so copies cost one pass."""
     import numpy as np
 
     sizes = np.array([len(x) for x in sets])
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    label = np.arange(len(sets))
     if len(sets) == 2:
-        common[0, 1] = common[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
-    else:
-        values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        shared = count[at] > 1
-        owner, at = owner[shared], np.searchsorted(np.flatnonzero(count > 1), at[shared])
-        order = np.argsort(at, kind="stable")
-        owner, at = owner[order], at[order]
-        width = max(64, (1 << 24) // len(sets))
-        for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
-            x, y = np.searchsorted(at, (low, low + width))
-            block = np.zeros((len(sets), width), np.float32)
-            block[owner[x:y], at[x:y] - low] = 1
-            common += block @ block.T
-    return (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (sizes[:, None] > 0)
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        if common and 100 * common >= percent * (sizes.sum() - common):
+            label[1] = 0
+        return label
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(int(token.max()) + 1 if len(token) else 0, bool)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    own = [token[first[i] : first[i + 1]] for i in range(len(sets))]
+    rest = np.flatnonzero(sizes)
+    flat = np.concatenate([own[i] for i in rest]) if len(rest) else token
+    at = np.concatenate(([0], np.cumsum(sizes[rest])))[:-1]
+    queue: list[int] = []
+    while len(rest):
+        if not queue:
+            queue.append(int(rest[0]))
+            label[rest[0]] = root = int(rest[0])
+            leave = np.zeros(len(rest), bool)
+            leave[0] = True
+        else:
+            leave = np.zeros(len(rest), bool)
+        x = queue.pop()
+        marked[own[x]] = True
+        common = np.add.reduceat(marked[flat].astype(np.int64), at)
+        marked[own[x]] = False
+        linked = 100 * common >= percent * (sizes[x] + sizes[rest] - common)
+        label[rest[linked]] = root
+        queue += rest[linked & ~leave].tolist()
+        leave |= linked
+        if leave.any():
+            rest = rest[~leave]
+            flat = flat[np.repeat(~leave, np.diff(np.append(at, len(flat))))]
+            at = np.concatenate(([0], np.cumsum(sizes[rest])))[:-1]
+    return label
 
 
 def _exact(key: str, shingle: int, percent: int):
@@ -220,7 +240,7 @@ def _exact(key: str, shingle: int, percent: int):
                 least = np.empty(b - a, np.int64)
                 for x, y in zip(bounds[at:to], ends[at:to]):
                     order = np.arange(x, y)[np.argsort(rep[x:y])]
-                    label = _components(_links([tokens[first[i - a] : first[i - a + 1]] for i in order], percent))
+                    label = _reach([tokens[first[i - a] : first[i - a + 1]] for i in order], percent)
                     least[order - a] = rep[order][label]
                 yield pa.RecordBatch.from_arrays([pa.array(rep[a:b]), pa.array(least)], ["rep", "least"])
                 at = to
@@ -251,12 +271,12 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _candidates(reps: DataFrame, percent: int) -> DataFrame:
     """Candidate links of all trees, level by level."""
-    spark, found = reps.sparkSession, []
+    small, found = [], []
     rows = reps.select("rep", "sketch").mapInArrow(_roots, "node long, rep long")
     while True:
         nodes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n_members"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.min("rep").alias("pivot")).filter("n_members > 1"), "nodes")
-        small = nodes.filter(F.col("n_members") <= NODE).groupBy("n_members", "members").agg(F.min("node").alias("node")).select("node")  # of nodes with the same members, one
-        found.append(rows.join(small, "node").join(reps, "rep").select("node", "rep", "n", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(_small_nodes(percent), "a long, b long"))
+        few = nodes.filter(F.col("n_members") <= NODE).groupBy("n_members", "members").agg(F.min("node").alias("node")).select("node")  # of nodes with the same members, one
+        small.append(rows.join(few, "node").select("node", "rep"))
         large = nodes.filter(F.col("n_members") > NODE).groupBy("n_members", "members").agg(F.min("node").alias("node"), F.min("pivot").alias("pivot")).select("node", "pivot")
         if large.isEmpty():
             break
@@ -264,10 +284,9 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
         level = cut(rows.join(large.join(pivots, "pivot"), "node").join(reps.select("rep", "sketch"), "rep").select("node", "rep", "pivot", "sketch", "pivot_sketch").mapInArrow(_large_nodes, "node long, a long, b long"), "level")
         found.append(level.filter("b is not null").select("a", "b"))
         rows = level.filter("b is null").select("node", F.col("a").alias("rep"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    members = reduce(DataFrame.unionByName, small).join(reps, "rep").select("node", "rep", "n", "sketch")
+    found.append(members.repartition("node").sortWithinPartitions("node").mapInArrow(_small_nodes(percent), "a long, b long"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -3,10 +3,9 @@
 A log holds events of conversations: conv_id, seq, turn, kind, role, text. Kinds:
   delta       text streamed to the end of the turn's message (a turn's first delta starts it);
   edit        the turn's message becomes this text;
-  regenerate  the turn's message starts anew with this text, and all later turns made before this event are gone.
+  regenerate  the turn's message starts anew with this text, and all events of later turns before this one are void.
 Events of a conversation apply in order of seq. A turn's message is the text of its last edit or regenerate, or nothing,
-followed by the deltas after it; its role is that of its last event with a role. A turn exists if it has an event after the
-last regenerate of any earlier turn. Messages render in order of turn:
+followed by the deltas after it; its role is that of its last event with a role. A turn without valid events is none. Messages render in order of turn:
 
   <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -46,17 +45,24 @@ def unescape(text: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """The final messages of a log: conv_id, turn, role, text."""
     events = events.select("conv_id", "seq", "turn", F.coalesce("kind", F.lit("delta")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    event = F.struct("seq", "kind", "text", "role")
-    start = F.when(F.col("kind") != "delta", event)
-    turns = events.groupBy("conv_id", "turn").agg(F.max(start).alias("start"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("reset"), F.array_sort(F.collect_list(event)).alias("log"))
-    later = F.filter("log", lambda x: (x["kind"] == "delta") & (F.col("start").isNull() | (F.coalesce(x["seq"] > F.col("start.seq"), F.lit(True)))))
-    deltas = F.array_join(F.transform(later, lambda x: x["text"]), "")
-    named = F.filter(F.transform("log", lambda x: x["role"]), lambda x: x.isNotNull())
-    turns = turns.select("conv_id", "turn", "reset", F.element_at(F.transform("log", lambda x: x["seq"]), -1).alias("last"), F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit("user")).alias("role"), F.concat(F.coalesce("start.text", F.lit("")), deltas).alias("text"))
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "last", "reset"))).alias("turns"))
-    gone = lambda x: F.exists("turns", lambda y: y["reset"].isNotNull() & (y["turn"] < x["turn"]) & (x["last"] < y["reset"]))
-    kept = F.when(F.exists("turns", lambda y: y["reset"].isNotNull()), F.filter("turns", lambda x: ~F.coalesce(gone(x), F.lit(False)))).otherwise(F.col("turns"))
-    return chats.select("conv_id", F.transform(kept, lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    turns = events.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("reset"), F.array_sort(F.collect_list(F.struct("seq", "kind", "text", "role"))).alias("log"))
+    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "reset", "log"))).alias("turns"))
+    any_reset = F.exists("turns", lambda y: y["reset"].isNotNull())
+
+    def valid(x: Column) -> Column:
+        """A turn's events after the last regenerate of any earlier turn."""
+        bound = F.array_max(F.transform(F.filter("turns", lambda y: (y["turn"] < x["turn"]) & y["reset"].isNotNull()), lambda y: y["reset"]))
+        return F.when(any_reset, F.filter(x["log"], lambda e: F.coalesce(e["seq"] > bound, bound.isNull()))).otherwise(x["log"])
+
+    def message(turn: Column, log: Column) -> Column:
+        start = F.try_element_at(F.filter(log, lambda e: e["kind"] != "delta"), F.lit(-1))
+        later = F.filter(log, lambda e: (e["kind"] == "delta") & (start.isNull() | F.coalesce(e["seq"] > start["seq"], F.lit(False))))
+        roles = F.filter(F.transform(log, lambda e: e["role"]), lambda r: r.isNotNull())
+        text = F.concat(F.coalesce(start["text"], F.lit("")), F.array_join(F.transform(later, lambda e: e["text"]), ""))
+        return F.struct(turn.alias("turn"), F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("user")).alias("role"), text.alias("text"))
+
+    kept = F.filter(F.transform("turns", lambda x: F.struct(x["turn"].alias("turn"), valid(x).alias("log"))), lambda x: F.size(x["log"]) > 0)
+    return chats.select("conv_id", kept.alias("turns")).select("conv_id", F.transform("turns", lambda x: message(x["turn"], x["log"])).alias("turns"))
 
 
 def render(chats: DataFrame) -> DataFrame:

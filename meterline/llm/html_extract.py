@@ -1,12 +1,12 @@
 """Main text of web pages by deduction of a host's template from equivalence classes.
 
-1. Every page becomes tokens: containers (the path of container elements from the root, with classes) and text runs (path and
+1. Every page becomes tokens: containers (the path of container elements from the root, with classes) and text blocks (path and
    text). A token's occurrence vector says how often it occurs in each page of the host. Vectors are compared by
    support and a 64-bit fingerprint that is summed over pages, so no host is gathered, however large.
 2. Tokens with the vector of the page root form the root class: they occur in every page of the host. Containers in at least half
    of the pages form the classes nested in it; a path holds its ancestors, so a class nests in the class of its prefix, and
    classes whose tokens change order between pages (first places overlap) are not valid.
-3. The template has the text runs of the root class (constant text) and the valid containers. The slots that remain are the
+3. The template has the text blocks of the root class (constant text) and the valid containers. The slots that remain are the
    containers' own texts. A host's main slot is the one with most text outside of links that differs between pages; an article
    or main element outranks others and takes all that it holds.
 4. Extraction keeps, in page order, the text of the main slot without nested menus, headers of the page, footers, sidebars,
@@ -34,7 +34,7 @@ LEAST_PAGES, CONSTANT_PAGES = 3, 5
 MOST_HOSTS = 20_000
 
 CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl table figure dialog details fieldset menu center".split())
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre hr br address figcaption summary legend option".split())
+BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre hr address figcaption summary legend option".split())
 RAW = frozenset("script style title textarea noscript template iframe svg canvas object select button head".split())
 EXCLUDED = frozenset("nav footer aside form dialog menu fieldset".split())
 WORDS_EXCLUDED = frozenset(
@@ -103,7 +103,9 @@ def segments(html: str) -> list[tuple[str, bool, bool, str]]:
             continue
         if tag == "a":
             link = 0 if close else 1
-        if tag in BLOCKS:
+        if tag == "br":
+            out.append((stack[-1][1], stack[-1][2], False, "\n"))
+        elif tag in BLOCKS:
             out.append((stack[-1][1], stack[-1][2], False, " "))
             if tag in CONTAINERS:
                 if not close:
@@ -140,22 +142,29 @@ def _tokens(batches):
             host = _host(url)
             held: dict[str, list] = {"": [1, 0, 0, []]}
             texts: dict[int, int] = {}
-            last = ""
+            last, block = "", []
             for path, excluded, link, text in segments(html or ""):
                 if path not in held:
                     for n in range(1, path.count(">") + 1):
                         held.setdefault(">".join(path.split(">")[: n + 1]), [0, 0, 0, []])
                 if path != last and path:
                     held[path][0] += 1
+                if (text == " " or path != last) and block:
+                    key = _print(last, " ".join("".join(block).split()))
+                    texts[key] = texts.get(key, 0) + 1
+                    block = []
                 last = path
+                if not excluded and text != " " and (block or not text.isspace()):
+                    block.append(text)
                 text = text.strip()
                 if text and not excluded:
                     one = held[path]
                     one[1] += len(text)
                     one[2] += len(text) if link else 0
                     one[3].append(text)
-                    key = _print(path, " ".join(text.split()))
-                    texts[key] = texts.get(key, 0) + 1
+            if block:
+                key = _print(last, " ".join("".join(block).split()))
+                texts[key] = texts.get(key, 0) + 1
             for place, (path, (count, chars, linked, own)) in enumerate(held.items()):
                 rows.append((host, _print(path), path, _print(str(number), "1" if path == "" else str(count)), place, chars, linked, _print(*own)))
             rows += [(host, key, None, _print(str(number), str(count)), 0, 0, 0, 0) for key, count in texts.items()]
@@ -163,7 +172,7 @@ def _tokens(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Of each host with a template: host, main (the path of its main slot) and constant (prints of its constant text runs)."""
+    """Of each host with a template: host, main (the path of its main slot) and constant (prints of its constant text blocks)."""
     rows = pages.mapInArrow(_tokens, "host string, token long, path string, vector long, place long, chars long, linked long, text_print long")
     tokens = rows.groupBy("host", "token").agg(
         F.max("path").alias("path"), F.count(F.lit(1)).alias("pages"), F.bit_xor("vector").alias("vector"), F.min("place").alias("first"), F.max("place").alias("last"),
@@ -196,12 +205,16 @@ def main_text(html: str, main: str | None, constant: frozenset[int] = frozenset(
         runs = [r for h, r in zip(holds, runs) if h or not some]
     else:
         runs = [r for r in runs if inside(r[0])]
-    out = []
-    for path, excluded, _, text in runs:
-        if text == " ":
-            out.append(" ")
-        elif not excluded and not (constant and not text.isspace() and _print(path, " ".join(text.split())) in constant):
-            out.append(unescape(text))
+    out, block, last = [], [], ""
+    for path, excluded, _, text in [*runs, ("", False, False, " ")]:
+        if text == " " or path != last:
+            if block and not (constant and _print(last, " ".join("".join(block).split())) in constant):
+                out.append(unescape("".join(block)))
+            if block and text == " ":
+                out.append(" ")
+            block, last = [], path
+        if text != " " and not excluded:
+            block.append(text)
     return " ".join("".join(out).split())
 
 

@@ -9,8 +9,8 @@
    agree on one cell of this space (or on half the query's corners, if it has few).
 
 Images with equal pixels are one image in all of this, on either side, so a hot image costs one row; results name the class
-representative (smallest id) and the class size. Chunks that are all ones or zeros, as in flat patches, are salted by the other chunks'
-join: a descriptor with fewer than LEAST_ONES ones or zeros describes a flat patch and is not made.
+representative (smallest id) and the class size. A descriptor with fewer than LEAST_ONES ones or zeros describes a flat patch and is
+not made, so flat areas make no hot keys.
 
 Nulls: rows with null id, pixels or size, or whose pixels don't fill the size, have no corners and match nothing. Repeated rows are
 one image. Empty tables give empty results. Only the named columns are read.
@@ -114,7 +114,7 @@ def _describe(batches):
 
 def _classes(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Images with equal pixels as one: (image, width, height, pixels) of each class, and (id, image) of each member."""
-    keyed = images.filter("id is not null and pixels is not null").withColumn("print", F.sha2(F.concat(F.col("pixels"), F.encode(F.concat_ws("x", "width", "height"), "UTF-8")), 256))
+    keyed = images.select("id", "width", "height", "pixels").filter("id is not null and pixels is not null").withColumn("print", F.sha2(F.concat(F.col("pixels"), F.encode(F.concat_ws("x", "width", "height"), "UTF-8")), 256))
     members = keyed.groupBy("print").agg(F.min("id").alias("image"))
     ids = keyed.select("id", "print").distinct().join(members, "print").select("id", "image")
     return keyed.join(members, "print").filter("id = image").dropDuplicates(["image"]).select("image", "width", "height", "pixels"), ids

@@ -4,10 +4,10 @@
    statistics, counted over all labelled documents, gives every document a posterior for each domain.
 2. A document with n words has n * p(domain) expected words in each domain. Rates w >= 0, one a document, are fitted so that the
    expected totals sum(w * n * p) equal the targets: least squares by projected gradient. The error is measured in the inverse of
-   G = sum(n p p'), and steps in the metric of n, where the step 1 is the inverse of the largest curvature, so that the error never
-   grows. Rates start at 1, so among solutions those near 1 are found.
+   G = sum(n p p'), and steps in the metric of n, where the step 1 is the inverse of the largest curvature. Steps are accelerated. Rates start at 1, so among
+   solutions those near 1 are found.
 3. A step needs one sum over all documents of as many numbers as there are domains. A document's rate is a fold over the steps' small
-   vectors, so no rates are stored between steps, and a lost executor costs one sum.
+   vectors, written every FOLD steps, so a lost executor costs one sum.
 
 Only DataFrame functions are used; the driver holds vectors of as many numbers as there are domains.
 
@@ -26,7 +26,7 @@ from .common import cut
 
 DOMAINS = ("high_quality", "low_quality", "toxic")
 TARGETS = {"high_quality": 0.85, "low_quality": 0.12, "toxic": 0.03}
-BINS, STEPS, CLOSE = 12, 40, 1e-6
+BINS, STEPS, FOLD, CLOSE = 12, 60, 10, 1e-6
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -82,30 +82,55 @@ def _dot(p: Column, u: Column) -> Column:
     return out
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the steps so far."""
+def _start() -> Column:
+    return F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("y"))
+
+
+def _after(state: Column, p: Column, steps: list[list[float]]) -> Column:
+    """A document's state after the steps: the rate w, and y, the point ahead of it at which the next gradient is taken."""
     if not steps:
-        return F.lit(1.0)
+        return state
     vectors = F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in steps])
-    return F.aggregate(vectors, F.lit(1.0), lambda w, u: F.greatest(F.lit(0.0), w - _dot(p, u)))
+
+    def step(s: Column, u: Column) -> Column:
+        w = F.greatest(F.lit(0.0), s["y"] - _dot(p, u))
+        return F.struct(w.alias("w"), (w + F.get(u, F.lit(len(DOMAINS))) * (w - s["w"])).alias("y"))
+
+    return F.aggregate(vectors, state, step)
+
+
+def rate(p: Column, steps: list[list[float]]) -> Column:
+    """A document's rate after the steps."""
+    return _after(_start(), p, steps)["w"]
 
 
 def fit_rates(rows: DataFrame, targets: list[float]) -> list[list[float]]:
-    """The steps of the projected gradient for documents with columns n and p, to expected totals of `targets` words."""
+    """The steps of the projected gradient for documents with columns n and p, to expected totals of `targets` words.
+
+    Steps are accelerated; the acceleration starts anew when the error grows. Every FOLD steps the states are written, so that
+    folds stay short.
+    """
     import numpy as np
 
     k = range(len(DOMAINS))
     n, p = F.col("n"), F.col("p")
     sums = rows.agg(*[F.coalesce(F.sum(n * F.get(p, F.lit(i)) * F.get(p, F.lit(j))), F.lit(0.0)) for i in k for j in k]).first()
     inverse = np.linalg.pinv(np.array(sums, float).reshape(len(DOMAINS), len(DOMAINS)), rcond=1e-9, hermitian=True)
-    wanted, steps = np.array(targets, float), []
+    wanted, steps, recent, age, least = np.array(targets, float), [], [], 0, float("inf")
+    states = rows.withColumn("state", _start())
     for _ in range(STEPS):
-        w = rate(p, steps)
-        reached = rows.agg(*[F.coalesce(F.sum(w * n * F.get(p, F.lit(i))), F.lit(0.0)) for i in k]).first()
-        off = np.array(reached, float) - wanted
+        if len(recent) == FOLD:
+            states, recent = cut(states.select("n", "p", _after(F.col("state"), p, recent).alias("state")), "rates"), []
+        s = states.select("n", "p", _after(F.col("state"), p, recent).alias("s"))
+        reached = s.agg(*[F.coalesce(F.sum(F.col(f"s.{c}") * n * F.get(p, F.lit(i))), F.lit(0.0)) for c in "wy" for i in k]).first()
+        off, ahead = np.array(reached, float).reshape(2, len(DOMAINS)) - wanted
         if np.abs(off).max() <= CLOSE * max(1.0, wanted.sum()):
             break
-        steps.append((inverse @ off).tolist())
+        error = float(off @ inverse @ off)
+        age = 0 if error > least else age + 1
+        least = error
+        steps.append([*(inverse @ ahead).tolist(), age / (age + 3.0)])
+        recent = [*recent, steps[-1]]
     return steps
 
 

@@ -6,7 +6,8 @@
    Viterbi finds the restored word that channel and trigram model together make likeliest. A clean token's lattice has one
    path, so it is its own restoration and no lattice is built.
 3. Features of a restored word are the word and its first 4, 5 and 6 bytes. From labelled rows a feature enters the lexicon if toxic
-   texts hold it significantly more often (log-likelihood ratio) and at least RATIO times as often, and at least SHARE of them do. Near copies of a text
+   texts hold it significantly more often (log-likelihood ratio), at least SHARE of them do, and clean ones never or RATIO times
+   more rarely. Near copies of a text
    count once (by their least five-word shingle). The fit sees all labelled rows up to MOST_TOXIC and MOST_CLEAN; beyond these
    bounds, a hash of the id picks about so many.
 4. Score: logistic function of BIAS plus, for each distinct word, its best feature's log ratio (at most CAP).
@@ -250,7 +251,7 @@ def _fit(batches):
     part = lambda x, p: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(p, 1e-12)), 0)
     llr = 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
     ratio = (a + 0.25) / (n1 + 1) / ((b + 0.25) / (n0 + 1))
-    good = (llr >= LLR) & (ratio >= RATIO)
+    good = (llr >= LLR) & ((b == 0) | (ratio >= RATIO))
     yield pa.RecordBatch.from_arrays([pa.array(candidates[good]), pa.array(np.minimum(np.log(ratio[good]), CAP))], ["feature", "weight"])
 
 

@@ -15,7 +15,7 @@ def test_archives_read_back(spark):
     manifest = warc.write_archives(df, out_dir, shard_bytes=2000, roll_bytes=500)
     assert manifest.agg({"records": "sum"}).first()[0] == len(pages)
     got = sorted((r["page_id"] or -1, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, out_dir).collect())
-    assert got == [(-1, 10, "response", None), (2, 10, "response", None), (2, 10, "response", None), (5, 10, "revisit", 2), (8, 0, "response", None), (9, 0, "revisit", 8), (11, 3_000_000, "response", None)]
+    assert got == [(-1, 9, "response", None), (2, 9, "response", None), (2, 9, "response", None), (5, 9, "revisit", 2), (8, 0, "response", None), (9, 0, "revisit", 8), (11, 3_000_000, "response", None)]
     again = common.scratch(spark, "test-warc")
     warc.write_archives(df.repartition(3), again, shard_bytes=2000, roll_bytes=500)
     content = lambda d: {r["path"].rpartition("/")[2]: bytes(r["content"]) for r in spark.read.format("binaryFile").load(f"{d}/*.warc.gz").collect()}
@@ -61,17 +61,17 @@ def test_chat_round_trip_of_control_strings(spark):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp;</title><style>p{}</style><script>var t="</p>";</script></head><body>
-<div class="top-menu"><a href="/">Home</a></div><header>Site</header><div class="content"><h1>Caf&eacute; %s</h1><p>First <b>bo</b>ld.<br>Next&nbsp;line<p>Unclosed &lt;tag&gt; %s
+<div class="top-menu"><a href="/">Home</a></div><header>Site</header><div class="content"><h1>Caf&eacute; %s</h1><p>First <b>bo</b>ld %s.<br>Next&nbsp;line<p>Unclosed &lt;tag&gt; %s
 <div id="share">Share me</div><p>Read this standing line</p></div><aside>Side</aside><section class="comments"><p>nice post</p></section><form>Search</form><footer>&copy; us</footer></body></html>"""
 
 
 def test_main_text_by_template(spark):
-    pages = [(i, f"https://u@Host.example:80/p{i}?q", PAGE % (i, f"body {i} " * (i + 3))) for i in range(6)]
+    pages = [(i, f"https://u@Host.example:80/p{i}?q", PAGE % (i, i * 7, f"body {i} " * (i + 3))) for i in range(6)]
     pages += [(90, "http://one.example/", "<article><h2>A</h2>b<nav>no</nav></article><footer>no</footer>"), (91, None, None), (92, "x", ""), (93, "http://one.example/", "<p>cut <b>off <i"), (None, "http://q/", "<p>x"), (None, "http://q/", "<p>x")]
     df = spark.createDataFrame([(*p, "clash", "m") for p in pages], "page_id long, url string, html string, host string, main string")
     out = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract_main_text(df).collect()}
     for i in range(6):
-        text = f"Café {i} First bold. Next line Unclosed <tag> " + " ".join([f"body {i}"] * (i + 3))
+        text = f"Café {i} First bold {i * 7}. Next line Unclosed <tag> " + " ".join([f"body {i}"] * (i + 3))
         assert out[i] == (text, len(text))  # the standing line is the template's
     assert out[90] == ("A b", 3) and out[91] == ("", 0) and out[92] == ("", 0) and out[93][0].startswith("cut off") and out[None] == ("x", 1)
     assert html_extract.extract_main_text(df.limit(0)).collect() == []
@@ -104,7 +104,9 @@ def test_trigram_counts_equal_brute_force(spark):
 
 
 def test_toxicity_learns_and_handles_odd_rows(spark):
-    rows = [(i, f"plain words number {i} of text", 0) for i in range(60)] + [(100 + i, f"you {'idiot' if i % 2 else 'clown'} go away {i}", 1) for i in range(40)]
+    rng = np.random.default_rng(2)
+    plain = lambda: " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 7)) for _ in range(9))
+    rows = [(i, plain(), 0) for i in range(80)] + [(100 + i, f"{plain()} {'idiot' if i % 2 else 'clown'} {plain()}", 1) for i in range(80)]
     docs = spark.createDataFrame([(i, t, "s") for i, t, _ in rows] + [(999, None, "s"), (998, "", "s"), (None, "1d10t cl0wn", "s"), (997, "you idiot " * 20_000, "s"), (997, "you idiot " * 20_000, "s")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(998, None), (None, 1), (100, 1)], "doc_id long, toxic int")
     out = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, *toxicity.learn(docs, labels)).collect()}
@@ -131,11 +133,15 @@ def test_rates_meet_targets_and_equal_numpy(spark):
     from pyspark.sql import functions as F
 
     got = np.array([r[0] for r in df.select(mixing.rate(F.col("p"), steps)).collect()])
-    w, inverse = np.ones(300), np.linalg.pinv((p * n[:, None]).T @ p)
-    for _ in steps:
-        w = np.maximum(0, w - p @ (inverse @ ((w * n) @ p - targets)))
+    w, y = np.ones(300), np.ones(300)
+    for *u, beta in steps:
+        before, w = w, np.maximum(0, y - p @ np.array(u))
+        y = w + beta * (w - before)
     assert np.allclose(sorted(got), sorted(w)) and (got >= 0).all()
-    assert np.allclose((w * n) @ p, targets, rtol=1e-3)
+    assert np.allclose((w * n) @ p, targets, rtol=1e-2)
+    none = mixing.fit_rates(df, [n.sum(), 0.0, 0.0])  # out of reach: the error still falls
+    got = np.array([r[0] for r in df.select(mixing.rate(F.col("p"), none)).collect()])
+    assert (got >= 0).all() and abs(got @ (n * 1.0) - n.sum()) < n.sum()
 
 
 def test_mixing_odd_rows(spark):

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import account_queries, stream_queries, usage_queries  # noqa: F401  each registers its queries
+
+QUERIES = usage_queries.QUERIES
+ORACLE_SQL = usage_queries.ORACLE_SQL

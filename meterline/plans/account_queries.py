@@ -166,7 +166,7 @@ def session_order_topk(spark, d):
     return T.session_order(R.sessions(usage_fact(spark, d)), 20).select("client", "session", "total", "cost_nano")
 
 
-@query(", b AS (SELECT user_id, k, arg_max(event_id, (total, ts, event_id)) AS chunk_id, max(total) AS total, max(ts) AS t FROM fact GROUP BY ALL) SELECT user_id, k, chunk_id, total, strftime(t, '%Y-%m-%d %H:%M:%S') AS "at" FROM b", fact=True)
+@query(", b AS (SELECT user_id, k, arg_max(event_id, (total, ts, event_id)) AS chunk_id, max(total) AS total, max(ts) AS t FROM fact GROUP BY ALL) SELECT user_id, k, chunk_id, total, strftime(t, '%Y-%m-%d %H:%M:%S') AS \"at\" FROM b", fact=True)
 def chunk_dedup(spark, d):
     chunks = usage_fact(spark, d).select("user_id", "k", F.col("event_id").alias("chunk_id"), "total", F.col("ts").alias("at"))
     return T.best_chunk(chunks, ["user_id", "k"], "total", "at").withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
@@ -226,7 +226,7 @@ l AS (SELECT user_id, event_type, list(struct_pack(t := CAST(t AS DOUBLE), used
 r AS (SELECT user_id, event_type, list_reduce(a, lambda p, c: struct_pack(t := c.t, used := c.used, rate := CASE WHEN c.used < p.used OR c.t <= p.t THEN p.rate WHEN (c.used - p.used) / (c.t - p.t) >= p.rate THEN (c.used - p.used) / (c.t - p.t) ELSE CAST(0.3 AS DOUBLE) * ((c.used - p.used) / (c.t - p.t)) + CAST(0.7 AS DOUBLE) * p.rate END)) AS z FROM l)"""
 
 
-@query(f"{BURN_SQL} SELECT user_id, event_type, z.t AS "at", z.used AS used, round(z.rate, 9) AS rate FROM r", fact=True)
+@query(f"{BURN_SQL} SELECT user_id, event_type, z.t AS \"at\", z.used AS used, round(z.rate, 9) AS rate FROM r", fact=True)
 def burn_rate_ema(spark, d):
     return Q.burn_rates(_samples(spark, d), ["user_id", "event_type"]).withColumn("rate", F.round("rate", 9))
 

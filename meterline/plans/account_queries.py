@@ -16,7 +16,10 @@ from ..operators import transcripts as T
 from ..sources.views import NOW, TODAY, long_history, table, usage_fact
 from .usage_queries import ORACLE_SQL, PERIODS, QUERIES, query
 
-NOW_TS = F.lit(NOW).cast("timestamp")
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
 
 # Prices and currency
 
@@ -33,7 +36,7 @@ def _prices(spark, d):
     rate = F.when(odd, F.col("p_size").cast("long")).otherwise(F.regexp_replace("p_brand", "[^0-9]", "").cast("long"))
     rows = part.select(key.alias("model_key"), rate.alias("rate"), F.lit("2024-01-01").cast("timestamp").alias("dated"))
     rows = rows.withColumns({r: F.col("rate").cast("double") for r in M.RATES}).withColumn("priority", F.col("rate"))
-    return M.catalog(rows, NOW_TS)
+    return M.catalog(rows, _now())
 
 
 def _lines(spark, d):
@@ -76,7 +79,7 @@ def _devices(spark, d):
 @query(f", {DEVICE_SQL} SELECT device, CAST(updated_at AS DATE) = DATE '{TODAY}' AS today_open, date_trunc('month', updated_at) = DATE '2024-01-01' AS month_open, TIMESTAMP '{NOW}' - updated_at > INTERVAL 36 HOUR AS stale FROM dv", fact=True)
 def device_expiry(spark, d):
     none = F.lit(None).cast("timestamp")
-    flags = {"today_open": D.is_open(NOW_TS, none, F.col("updated_at"), "today"), "month_open": D.is_open(NOW_TS, none, F.col("updated_at"), "month"), "stale": D.is_stale(NOW_TS, F.col("updated_at"), F.lit(36 * 3600 * 1000), F.lit(1000))}
+    flags = {"today_open": D.is_open(_now(), none, F.col("updated_at"), "today"), "month_open": D.is_open(_now(), none, F.col("updated_at"), "month"), "stale": D.is_stale(_now(), F.col("updated_at"), F.lit(36 * 3600 * 1000), F.lit(1000))}
     return _devices(spark, d).select("device", *[c.alias(n) for n, c in flags.items()])
 
 
@@ -182,17 +185,18 @@ def _readings(spark, d):
     return rows.agg(F.max("ts").alias("updated_at"), F.count_distinct("client").alias("windows"), F.when(F.max("k") % 2 == 0, "ok").otherwise("error").alias("status"), F.when(F.min("k") % 2 == 0, F.max("total")).alias("balance"))
 
 
-STALE = F.col("updated_at") < F.lit("2024-01-30 00:00:00").cast("timestamp")
+def _stale():
+    return F.col("updated_at") < F.lit("2024-01-30 00:00:00").cast("timestamp")
 
 
 @query(f", {READINGS_SQL}, w AS (SELECT account, arg_max(device, (updated_at >= TIMESTAMP '2024-01-30', CASE status WHEN 'ok' THEN 4 ELSE 2 END, windows, updated_at, device)) AS device FROM rd GROUP BY account) SELECT w.account, w.device, status, windows FROM w JOIN rd ON w.account = rd.account AND w.device = rd.device", fact=True)
 def quota_winner(spark, d):
-    return Q.winners(_readings(spark, d), ["account"], STALE).select("account", "device", "status", "windows")
+    return Q.winners(_readings(spark, d), ["account"], _stale()).select("account", "device", "status", "windows")
 
 
 @query(f", {READINGS_SQL} SELECT account, arg_max(balance, (updated_at, device)) AS balance FROM rd WHERE updated_at >= TIMESTAMP '2024-01-30' AND balance IS NOT NULL GROUP BY account", fact=True)
 def quota_balance_carry(spark, d):
-    return Q.carried_balance(_readings(spark, d), ["account"], STALE)
+    return Q.carried_balance(_readings(spark, d), ["account"], _stale())
 
 
 WINDOWS_SQL = "wn AS (SELECT user_id % 20 AS account, client AS kind, arg_max(total % 101, (ts, event_id)) AS used, max((ts, event_id)) AS o FROM fact GROUP BY ALL)"
@@ -239,12 +243,12 @@ def urgency_schedule(spark, d):
 @query(f"SELECT strftime(min(ts + INTERVAL 5 HOUR + INTERVAL 30 SECOND), '%Y-%m-%d %H:%M:%S') AS due FROM events WHERE ts + INTERVAL 5 HOUR + INTERVAL 30 SECOND > TIMESTAMP '{NOW}'")
 def reset_boundary(spark, d):
     rows = table(spark, d, "events").select((F.col("ts").cast("timestamp") + F.expr("INTERVAL 5 HOURS")).alias("resets_at"))
-    return Q.next_reset(rows, NOW_TS).select(F.date_format("due", "yyyy-MM-dd HH:mm:ss").alias("due"))
+    return Q.next_reset(rows, _now()).select(F.date_format("due", "yyyy-MM-dd HH:mm:ss").alias("due"))
 
 
 @query(f"SELECT CAST(coalesce(sum(total) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 5 HOUR), 0) AS BIGINT) AS session, CAST(coalesce(sum(total) FILTER (WHERE ts >= TIMESTAMP '2024-01-29'), 0) AS BIGINT) AS weekly, CAST(coalesce(sum(total) FILTER (WHERE ts >= TIMESTAMP '2024-01-17'), 0) AS BIGINT) AS billing FROM fact WHERE ts < TIMESTAMP '{NOW}'", fact=True)
 def range_sum_windows(spark, d):
-    sums = Q.window_sums(usage_fact(spark, d), NOW_TS, F.lit("2023-11-17 08:30:00").cast("timestamp"), "total")
+    sums = Q.window_sums(usage_fact(spark, d), _now(), F.lit("2023-11-17 08:30:00").cast("timestamp"), "total")
     return sums.select(*[F.col(c).cast("long").alias(c) for c in ("session", "weekly", "billing")])
 
 
@@ -276,17 +280,18 @@ def _subscriptions(spark, d):
     return first.join(known, "id").withColumn("months", F.when(F.col("id") % 3 == 0, 12).otherwise(1))
 
 
-RENEWAL_TODAY = F.lit("2001-08-01").cast("date")
+def _renewal_today():
+    return F.lit("2001-08-01").cast("date")
 
 
 @query(f"WITH {SUBS_SQL} SELECT id, (SELECT min(CAST(start + to_months(CAST(k * months AS INT)) AS DATE)) FROM range(0, 120) r(k) WHERE start + to_months(CAST(k * months AS INT)) >= DATE '2001-08-01') AS renewal FROM sb")
 def renewals(spark, d):
-    return _subscriptions(spark, d).select("id", M.next_renewal(F.col("start"), F.col("months"), RENEWAL_TODAY).alias("renewal"))
+    return _subscriptions(spark, d).select("id", M.next_renewal(F.col("start"), F.col("months"), _renewal_today()).alias("renewal"))
 
 
 @query(f"WITH {SUBS_SQL} SELECT id, CAST(amount * (SELECT count(*) FROM range(0, 120) r(k) WHERE start + to_months(CAST(k * months AS INT)) <= DATE '2001-08-01') AS BIGINT) AS paid FROM sb")
 def paid_to_date(spark, d):
-    return _subscriptions(spark, d).select("id", (F.col("amount") * M.elapsed_charges(F.col("start"), F.col("months"), RENEWAL_TODAY)).cast("long").alias("paid"))
+    return _subscriptions(spark, d).select("id", (F.col("amount") * M.elapsed_charges(F.col("start"), F.col("months"), _renewal_today())).cast("long").alias("paid"))
 
 
 @query(f"WITH {SUBS_SQL} SELECT CAST(sum(CAST(floor(amount / months + 0.5) AS BIGINT)) AS BIGINT) AS monthly, count(*) AS plans FROM sb")
@@ -297,7 +302,7 @@ def monthly_subscription_total(spark, d):
 @query(f"WITH {SUBS_SQL} SELECT id, DATE '2001-08-01' + CAST(floor((amount // 3) / ((amount - amount // 3) / greatest(1, date_diff('day', start, DATE '2001-08-01')))) AS INT) AS ends FROM sb WHERE amount > 3")
 def topup_projection(spark, d):
     rows = _subscriptions(spark, d).filter("amount > 3").withColumn("remaining", F.floor(F.col("amount") / 3).cast("long"))
-    return rows.select("id", M.exhaustion(F.col("amount"), F.col("remaining"), F.col("start"), RENEWAL_TODAY).alias("ends"))
+    return rows.select("id", M.exhaustion(F.col("amount"), F.col("remaining"), F.col("start"), _renewal_today()).alias("ends"))
 
 
 @query("WITH a AS (SELECT n_nationkey AS provider, s_suppkey AS account_key, s_name AS profile, count(*) OVER (PARTITION BY s_nationkey) AS m, count(*) OVER (PARTITION BY s_nationkey, s_name) AS np FROM supplier JOIN nation ON s_nationkey = n_nationkey), s AS (SELECT c_custkey AS id, c_nationkey AS provider, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 100 END AS bound_key, CASE WHEN c_custkey % 4 = 1 THEN 'Supplier#' || lpad(CAST(c_custkey % 100 AS VARCHAR), 9, '0') END AS profile FROM customer), x AS (SELECT s.id, a.account_key, CASE WHEN s.bound_key = a.account_key THEN 1 WHEN s.profile = a.profile AND np = 1 THEN 3 WHEN m = 1 THEN 4 END AS rank FROM s LEFT JOIN a ON s.provider = a.provider) SELECT id, CAST(min(rank) AS INT) AS rank, CASE WHEN min(rank) IS NOT NULL THEN arg_min(account_key, (rank, account_key)) FILTER (WHERE rank IS NOT NULL) END AS account_key FROM x GROUP BY id")

@@ -5,6 +5,7 @@ All are built-in expressions that stay inside code generation; none is a Python
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,16 @@ VENDOR_RULES = [
 ]
 
 
+def at_least(x: Column, floor: float = 0.0) -> Column:
+    """The larger one; null stays null, which greatest() alone would drop."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(floor), x))
+
+
+def percent(x: Column) -> Column:
+    """A percentage from 0 to 100; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), x)))
+
+
 def lenient_number(value: Column) -> Column:
     """A number from text with $ and , taken out; 0 for anything else."""
     number = F.regexp_replace(F.trim(value.cast("string")), "[$,]", "").try_cast("double")
@@ -106,8 +117,6 @@ def project_key(label: Column) -> Column:
 
 def nfc_key(label: Column) -> Column:
     """The canonical key of any label: NFC needs a pandas function, so ASCII labels don't pass through it."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfc(values: pd.Series) -> pd.Series:
         import unicodedata
@@ -119,8 +128,6 @@ def nfc_key(label: Column) -> Column:
 
 def nfkc(value: Column) -> Column:
     """Compatibility normal form, for account labels."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def apply(values: pd.Series) -> pd.Series:
         import unicodedata
@@ -214,12 +221,8 @@ def compact(value: Column, units: str = "western") -> Column:
         digits = F.when(F.abs(scaled) < 10, F.format_string("%.2f", scaled)).otherwise(F.format_string("%.1f", scaled)) if units != "western" else F.format_string("%.1f", scaled)
         text = F.concat(F.regexp_replace(digits, r"\.?0+$", ""), F.lit(sign))
         enough = F.abs(number) >= size
-        if i + 1 <= len(steps) - 1 or i:
-            pass
-        if i < len(steps):
-            lower = steps[i + 1][0] if i + 1 < len(steps) else None
-            if lower is not None:  # rounding in the lower unit reaches this one
-                enough = enough | (F.abs(F.round(number / lower, 1)) >= bound)
+        if i + 1 < len(steps):  # rounding in the lower unit reaches this one
+            enough = enough | (F.abs(F.round(number / steps[i + 1][0], 1)) >= bound)
         out = F.when(enough, text) if out is None else out.when(enough, text)
     return out.otherwise(number.cast("long").cast("string"))
 
@@ -270,7 +273,7 @@ def quota_percent(funds: Column, spent: Column) -> Column:
 def retry_delay(value: Column, now: Column) -> Column:
     """Milliseconds from a Retry-After header: seconds, or an HTTP date."""
     date = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.when(value.rlike(r"^\s*\d+(\.\d+)?\s*$"), (value.try_cast("double") * 1000).cast("long")).otherwise(F.greatest(F.lit(0), F.unix_millis(date) - F.unix_millis(now)))
+    return F.when(value.rlike(r"^\s*\d+(\.\d+)?\s*$"), (value.try_cast("double") * 1000).cast("long")).when(date.isNotNull(), F.greatest(F.lit(0), F.unix_millis(date) - F.unix_millis(now)))
 
 
 def backoff(attempt: Column, base_ms: int = 1000, most_ms: int = 60_000, seed: Column | None = None) -> Column:

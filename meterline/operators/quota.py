@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import quota_number
+from ..functions.scalars import at_least, percent as clamp, quota_number
 
 # Spellings of window kinds, and the ranks of a reading's status.
 KINDS = {"session": ("session", "five_hour", "5h", "rolling", "primary"), "weekly": ("weekly", "week", "seven_day", "7d", "secondary"), "billing": ("billing", "monthly", "month", "credits", "spend")}
@@ -26,8 +26,8 @@ def window_kind(value: Column) -> Column:
 def window_numbers(used: Column, limit: Column, remaining: Column, percent: Column) -> dict[str, Column]:
     """used, limit and remaining as numbers; used percent from itself or used / limit, 0 to 100; remaining percent to three places."""
     u, m, r, p = (quota_number(x) for x in (used, limit, remaining, percent))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(p, F.when((m > 0) & u.isNotNull(), u / m * 100))))
-    return {"used": u, "limit": m, "remaining": F.coalesce(r, F.greatest(F.lit(0.0), m - u)), "used_percent": share, "remaining_percent": F.round(100 - share, 3)}
+    share = clamp(F.coalesce(p, F.when((m > 0) & u.isNotNull(), u / m * 100)))
+    return {"used": u, "limit": m, "remaining": F.coalesce(r, at_least(m - u)), "used_percent": share, "remaining_percent": F.round(100 - share, 3)}
 
 
 def sorted_expiries(values: Column) -> Column:

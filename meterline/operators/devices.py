@@ -79,3 +79,9 @@ def live_identity(rows: DataFrame, keys: Sequence[str], ended: Column) -> DataFr
 def merge_rows(local: DataFrame, hub: DataFrame, key: str) -> DataFrame:
     """Hub records with the local ones in place of their own."""
     return hub.join(local.select(key), key, "left_anti").unionByName(local)
+
+
+def carried(records: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], partial: Column) -> DataFrame:
+    """Progressive previews keep the previous fields until a complete record comes."""
+    over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return records.withColumns({f: F.when(partial, F.coalesce(F.col(f), F.last(f, ignorenulls=True).over(over))).otherwise(F.col(f)) for f in fields})

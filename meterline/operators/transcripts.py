@@ -53,3 +53,22 @@ def buffered_tools(events: DataFrame, session: str = "session") -> DataFrame:
 def session_order(rows: DataFrame, n: int) -> DataFrame:
     """The n sessions by recency, tokens, cost, then name (H1)."""
     return rows.orderBy(F.col("last_used_at").desc(), F.col("total").desc(), F.col("cost_nano").desc(), "client", "session").limit(n)
+
+
+def replayed(events: DataFrame, most_messages: int = 10_000) -> DataFrame:
+    """The messages of event logs (file, seq, type, at_index, messages): replace sets them, append adds at the end.
+
+    An append at another place, an unknown type or too many messages stops a log: later events don't count, and it is marked.
+    """
+    event = F.struct("seq", "type", "at_index", F.coalesce("messages", F.array().cast("array<string>")).alias("messages"))
+    logs = events.groupBy("file").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    start = F.struct(F.array().cast("array<string>").alias("messages"), F.lit(False).alias("stopped"))
+
+    def step(s: Column, e: Column) -> Column:
+        grown = F.concat(s["messages"], e["messages"])
+        fine = ((e["type"] == "replace") & (F.size(e["messages"]) <= most_messages)) | ((e["type"] == "append") & (e["at_index"] == F.size(s["messages"])) & (F.size(grown) <= most_messages))
+        fine = F.coalesce(fine, F.lit(False)) & ~s["stopped"]
+        messages = F.when(fine & (e["type"] == "replace"), e["messages"]).when(fine, grown).otherwise(s["messages"])
+        return F.struct(messages.alias("messages"), (~fine).alias("stopped"))
+
+    return logs.select("file", F.aggregate("log", start, step).alias("s")).select("file", "s.messages", F.col("s.stopped").alias("damaged"))

@@ -197,3 +197,14 @@ def test_window_numbers(spark):
     df = spark.createDataFrame([("5", "20", None, None), ("30", "20", None, None), (None, None, "3", None), (None, None, None, "45%")], "u string, m string, r string, p string")
     n = quota.window_numbers(*[F.col(c) for c in "umrp"])
     assert [tuple(r) for r in df.select(n["used_percent"], n["remaining"], n["remaining_percent"]).collect()] == [(25.0, 15.0, 75.0), (100.0, 0.0, 0.0), (None, 3.0, None), (45.0, None, 55.0)]
+
+
+def test_event_logs_replay_until_damage(spark):
+    events = [("a", 1, "replace", None, ["x", "y"]), ("a", 2, "append", 2, ["z"]), ("a", 3, "replace", None, ["n"]), ("a", 4, "append", 1, ["m"]), ("b", 1, "append", 0, ["p"]), ("b", 2, "append", 5, ["q"]), ("b", 3, "replace", None, ["r"]), ("c", 1, "odd", None, None)]
+    df = spark.createDataFrame(events, "file string, seq long, type string, at_index int, messages array<string>")
+    assert rows(transcripts.replayed(df)) == [("a", ["n", "m"], False), ("b", ["p"], True), ("c", [], True)]
+
+
+def test_previews_keep_fields_until_complete(spark):
+    df = spark.createDataFrame([("d", 1, 5, 50, False), ("d", 2, 6, None, True), ("d", 3, 7, None, False)], "device string, at long, today long, month long, partial boolean")
+    assert [r["month"] for r in devices.carried(df, ["device"], ["at"], ["month"], F.col("partial")).orderBy("at").collect()] == [50, 50, None]

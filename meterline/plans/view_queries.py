@@ -185,3 +185,83 @@ def turn_period_predicate(spark, d):
 def legend_totals(spark, d):
     rows = long_history(spark, d).groupBy(F.trunc("day", "month").alias("month"), "model").agg(F.sum("tokens").cast("long").alias("tokens"))
     return rows.withColumn("share", F.round(R.share("tokens", "month"), 9))
+
+
+@query("SELECT device, day, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(output) AS BIGINT) AS output, bool_and(exact) AS exact FROM fact WHERE day BETWEEN DATE '2024-01-24' AND DATE '2024-01-30' GROUP BY ALL", fact=True)
+def selected_daily_merge(spark, d):
+    rows = usage_fact(spark, d).filter(F.col("day").between("2024-01-24", TODAY))
+    return rows.groupBy("device", "day").agg(F.sum("total").cast("long").alias("tokens"), F.sum("output").cast("long").alias("output"), F.bool_and("exact").alias("exact"))
+
+
+@query("SELECT device, count(DISTINCT day) FILTER (WHERE day >= DATE '2024-01-24') AS week_days, count(DISTINCT day) AS all_days, CAST(coalesce(sum(total) FILTER (WHERE day = DATE '2024-01-30'), 0) AS BIGINT) AS today, CAST(sum(total) AS BIGINT) AS total FROM fact GROUP BY device", fact=True)
+def activity_stats(spark, d):
+    day = F.col("day")
+    return usage_fact(spark, d).groupBy("device").agg(F.count_distinct(F.when(day >= "2024-01-24", day)).alias("week_days"), F.count_distinct("day").alias("all_days"), F.coalesce(F.sum(F.when(day == TODAY, F.col("total"))), F.lit(0)).cast("long").alias("today"), F.sum("total").cast("long").alias("total"))
+
+
+@query("SELECT section, name, value FROM (SELECT 'overview' AS section, 'tokens' AS name, CAST(sum(total) AS BIGINT) AS value FROM fact UNION ALL (SELECT 'models', model, CAST(sum(total) AS BIGINT) AS v FROM fact GROUP BY model ORDER BY v DESC, model LIMIT 3) UNION ALL SELECT 'trend', CAST(day AS VARCHAR), CAST(sum(total) AS BIGINT) FROM fact WHERE day >= DATE '2024-01-24' GROUP BY day)", fact=True)
+def widget_snapshot(spark, d):
+    fact = usage_fact(spark, d)
+    part = lambda rows, section, name: rows.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col("total").alias("value"))
+    overview = fact.agg(F.sum("total").cast("long").alias("total")).withColumn("n", F.lit("tokens"))
+    models = _sum(fact, "model").orderBy(F.col("total").desc(), "model").limit(3)
+    trend = _sum(fact.filter("day >= date '2024-01-24'"), "day")
+    return part(overview, "overview", "n").unionByName(part(models, "models", "model")).unionByName(part(trend, "trend", "day"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'not_found' WHEN 'click' THEN 'degraded' ELSE CASE WHEN value < 10 THEN 'idle' ELSE 'ok' END END AS state FROM events")
+def health_states(spark, d):
+    from ..functions.scalars import overall_health
+
+    kind = F.col("event_type")
+    state = overall_health(F.when(kind == "signup", "missing").otherwise("found"), F.when(kind == "error", "failed").when(kind == "click", "partial").otherwise("done"), F.when(F.col("value") < 10, "empty").otherwise("present"))
+    return table(spark, d, "events").select("event_id", state.alias("state"))
+
+
+@query("SELECT DISTINCT event_type, CASE event_type WHEN 'view' THEN 'timeout' WHEN 'click' THEN 'missing' WHEN 'signup' THEN 'auth' WHEN 'purchase' THEN 'rate_limited' ELSE 'unknown' END AS code FROM events")
+def error_classification(spark, d):
+    from ..functions.scalars import error_code
+
+    raw = F.create_map(*[F.lit(x) for x in ("view", "request timed out", "click", "ENOENT: no such file", "signup", "HTTP 401", "purchase", "429 slow down", "error", "odd")])
+    return table(spark, d, "events").select("event_type", error_code(raw[F.col("event_type")]).alias("code")).distinct()
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'session' WHEN 1 THEN 'weekly' END AS kind, CAST(s_suppkey % 50 AS DOUBLE) AS used, 40.0::DOUBLE AS \"limit\", greatest(0.0, 40.0 - s_suppkey % 50)::DOUBLE AS remaining, least(100.0, (s_suppkey % 50) / 40.0 * 100)::DOUBLE AS used_percent FROM supplier")
+def quota_window_normalize(spark, d):
+    from ..operators.quota import window_kind, window_numbers
+
+    key = F.col("s_suppkey")
+    numbers = window_numbers((key % 50).cast("string"), F.lit("$40"), F.lit(None), F.lit(None))
+    kind = window_kind(F.when(key % 3 == 0, " Five_Hour").when(key % 3 == 1, "7D").otherwise("other"))
+    return table(spark, d, "supplier").select("s_suppkey", kind.alias("kind"), *[numbers[c].alias(c) for c in ("used", "limit", "remaining", "used_percent")])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'label ' || c_custkey ELSE '' END AS label FROM customer")
+def account_labels(spark, d):
+    from ..functions.scalars import account_label
+
+    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" label  "), F.col("c_custkey").cast("string"), F.lit("!"))).otherwise(F.concat(F.lit("user@"), F.col("c_custkey").cast("string")))
+    return table(spark, d, "customer").select("c_custkey", account_label(raw).alias("label"))
+
+
+@query("SELECT p_partkey, lower(trim(p_name)) AS key FROM part")
+def project_keys(spark, d):
+    from ..functions.scalars import nfc_key
+
+    return table(spark, d, "part").select("p_partkey", nfc_key(F.concat(F.lit(" "), F.upper("p_name"))).alias("key"))
+
+
+@query("SELECT event_id, CAST(least(60000, 1000 * pow(2, k % 8)) AS BIGINT) AS most, true AS inside FROM fact", fact=True)
+def retry_backoff(spark, d):
+    from ..functions.scalars import backoff
+
+    rows = usage_fact(spark, d).withColumn("most", F.least(F.lit(60_000.0), 1000 * F.pow(F.lit(2.0), F.col("k") % 8)).cast("long"))
+    delay = backoff(F.col("k") % 8, seed=F.col("event_id"))
+    return rows.select("event_id", "most", ((delay >= F.floor(F.col("most") / 2)) & (delay <= F.col("most"))).alias("inside"))
+
+
+@query("SELECT device, count(*) AS n, CAST(max(batch) AS BIGINT) AS batch FROM (SELECT DISTINCT device, client, model, 1 AS batch FROM fact) GROUP BY device", fact=True)
+def client_capture(spark, d):
+    rows = usage_fact(spark, d).select("device", "client", "model").distinct().withColumn("batch", F.lit(1))
+    latest = D.latest(rows, ["device", "client", "model"], [F.col("batch")])
+    return latest.groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.max("batch").cast("long").alias("batch"))

@@ -6,14 +6,18 @@ Schemas are given, never inferred. Malformed lines become null rows and are drop
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import scalars as S
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
+
 # The spellings under which usage rows name their fields, in the order in which they win.
 ALIASES = {
     "total": ["totalTokens", "total_tokens", "totalTokenCount", "total_token_count", "tokens", "tokenCount", "token_count"],
@@ -193,10 +197,6 @@ class SqliteReader(DataSourceReader):
 
 
 def sqlite_rows(spark: SparkSession, paths: list[str], query: str, schema: str) -> DataFrame:
-    from pyspark import cloudpickle
-    import sys
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(SqliteSource)
     return spark.read.format("sqlite").option("paths", ",".join(paths)).option("query", query).option("schema", schema).load()
 

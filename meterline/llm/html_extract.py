@@ -36,11 +36,13 @@ MOST_HOSTS = 20_000
 CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl table figure dialog details fieldset menu center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre hr address figcaption summary legend option".split())
 RAW = frozenset("script style title textarea noscript template iframe svg canvas object select button head".split())
+#: Blocks whose end tag may be left out.
+IMPLIED_END = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th".split())
 EXCLUDED = frozenset("nav footer aside form dialog menu fieldset".split())
 WORDS_EXCLUDED = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer "
     "header masthead comment comments reply replies disqus respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
-    "share sharing social related recommended recommendations widget toolbar pagination pager search login signup copyright skip".split()
+    "share sharing social related recommended recommendations commentlist usercomments commentform topnav sidenav submenu topbar cookiebar cookiebanner adslot adbox adunit leaderboard widget toolbar pagination pager search login signup copyright skip".split()
 )
 
 
@@ -107,6 +109,8 @@ def segments(html: str) -> list[tuple[str, bool, bool, str]]:
             out.append((stack[-1][1], stack[-1][2], False, "\n"))
         elif tag in BLOCKS:
             out.append((stack[-1][1], stack[-1][2], False, " "))
+            if not close and stack[-1][0] in IMPLIED_END:  # a marked paragraph ends where the next block begins
+                stack.pop()
             if tag in CONTAINERS:
                 if not close:
                     name, excluded = _element(tag, attributes)
@@ -116,6 +120,12 @@ def segments(html: str) -> list[tuple[str, bool, bool, str]]:
                 elif any(x[0] == tag for x in stack):
                     while stack.pop()[0] != tag:
                         pass
+            elif close and stack[-1][0] == tag:
+                stack.pop()
+            elif not close and attributes and not attributes.isspace():
+                name, excluded = _element(tag, attributes)
+                if excluded:
+                    stack.append((tag, f"{stack[-1][1]}>{name}", True))
     return out
 
 

@@ -77,6 +77,17 @@ def test_main_text_by_template(spark):
     assert html_extract.extract_main_text(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<article><p class='notice'>no<p>yes</p><li class=ad>no</li>a<b>b</b> c</article>", "yes ab c"),
+    ("<body><div class=post><h1>T</h1><p>x<br>y</p></div><div id='comments'><p>no</p></div><script>'<p>no'</script>", "T x y"),
+    ("<main><header><h1>Kept</h1></header><p>a &amp; b &#233; &nope; &lt;i&gt;</p><nav>no</nav><select><option>no</select></main>", "Kept a & b é &nope; <i>"),
+    ("<article><p>one</p><!-- no --><p style='display: none'>no</p><p hidden>no</p><table><tr><td>two<td>three</table></article>", "one two three"),
+    ("just text", "just text"), ("<p>a < b <p", "a < b <p"), ("<article", "<article"),
+])
+def test_main_text_of_one_page(html, text):
+    assert html_extract.main_text(html, None) == text
+
+
 def test_repeated_articles_are_no_template(spark):
     html = "<html><body><nav>menu</nav><article><p>the very same article</p></article></body></html>"
     df = spark.createDataFrame([(i, "http://h/", html) for i in range(8)], "page_id long, url string, html string")

@@ -188,3 +188,11 @@ def test_kernels_do_not_depend_on_place():
     grams = words.grams(2, kernels.BASES[1])
     assert words.count.tolist() == [4, 0, 0, 4, 2, 1 + 1] and grams[0] == grams[2] == grams[6] and grams[0] != grams[1]
     assert words.whole(2).tolist() == [True, True, True, False, True, True, True, False, True, False, True, False]
+
+
+def test_recall_of_edited_copies(spark):
+    sf = "/root/testdata/sf0.1"
+    found = {(r["query_id"], r["match_id"]) for r in image_copies.op6_image_copies(spark, sf).collect()}
+    asked = [r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 50 = 0").select("vec_id").collect()]
+    assert len(asked) >= 50 and sum((q, q) in found for q in asked) >= 0.9 * len(asked)
+    assert sum(q != m for q, m in found) <= 0.1 * len(asked)

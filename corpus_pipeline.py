@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from meterline.llm import decontaminate, mixing, near_dedup, substring_dedup, toxicity
 from meterline.llm.common import cut
 
+#: Of the words that are left; the toxic documents are gone by then.
+SHARES = {"high_quality": 0.85, "low_quality": 0.15, "toxic": 0.0}
 COLUMNS = ("text", "lang", "source", "n_chars")
 
 
@@ -41,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the rates that bring the expected domain totals to the targets."""
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=COLUMNS)
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARES, carry=COLUMNS)
 
 
 STAGES = [

@@ -211,7 +211,7 @@ COMPACT_UNITS = {"western": [(1e9, "B"), (1e6, "M"), (1e3, "K")], "zh-hans": [(1
 
 
 def compact(value: Column, units: str = "western") -> Column:
-    """A count with a unit sign: one digit after the point (two below 10 in localized units), no zeros at the end, the next unit where rounding reaches it."""
+    """A count with a unit sign: one digit after the point (two below 10 in localized units), no zeros at the end, the next unit where rounding reaches it (J21). Ties round up."""
     steps = COMPACT_UNITS[units]
     number = F.floor(value + 0.5).cast("double")
     bound = steps[0][0] / steps[1][0]

@@ -86,5 +86,5 @@ def match_accounts(subscriptions: DataFrame, accounts: DataFrame) -> DataFrame:
     a = accounts.select(F.col("provider").alias("a_provider"), "account_key", F.col("email").alias("a_email"), F.col("profile").alias("a_profile"), "same_profile", "same_provider")
     rank = F.when(F.col("bound_key") == F.col("account_key"), 1).when(F.col("email") == F.col("a_email"), 2).when((F.col("profile") == F.col("a_profile")) & (F.col("same_profile") == 1), 3).when(F.col("same_provider") == 1, 4)
     met = subscriptions.join(a, F.col("provider") == F.col("a_provider"), "left").withColumn("rank", rank)
-    best = met.groupBy("id").agg(F.min_by("account_key", F.struct("rank", "account_key")).alias("account_key"), F.min("rank").alias("rank"))
-    return best.withColumn("account_key", F.when(F.col("rank").isNotNull(), F.col("account_key")))
+    best = met.groupBy("id").agg(F.min_by("account_key", F.when(F.col("rank").isNotNull(), F.struct("rank", "account_key"))).alias("account_key"), F.min("rank").alias("rank"))
+    return best

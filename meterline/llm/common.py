@@ -20,6 +20,11 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
+def process_cache(name: str) -> dict:
+    """A dictionary that lives as long as the process: functions that are pickled by value get new globals with each task."""
+    return sys.__dict__.setdefault("_meterline_caches", {}).setdefault(name, {})
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

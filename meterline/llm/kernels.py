@@ -10,12 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ship
+from .common import process_cache, ship
 
 ship(__name__)
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,20 +33,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x9FB21C651E98DF25)
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64, at least n of each."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+    kept = process_cache("powers")
+    if base not in kept or len(kept[base][0]) < n:
+        size = (n // (1 << 16) + 1) << 16
         one = np.full(size, base, U)
         one[0] = 1
         back = np.full(size, pow(base, -1, 1 << 64), U)
         back[0] = 1
-        _POWERS[base] = np.cumprod(one, dtype=U), np.cumprod(back, dtype=U)
-    return _POWERS[base]
+        kept[base] = np.cumprod(one, dtype=U), np.cumprod(back, dtype=U)
+    return kept[base]
 
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:

@@ -297,7 +297,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(texts.mapInArrow(_signatures(shingle), "doc_id long, n long, print1 long, print2 long, sketch binary"), "signatures")
     prints = ["n", "print1", "print2"]
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("rep"))
+    classes = cut(signed.filter("n > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a hot class can be split in the join
     members = signed.select("doc_id", *prints).join(classes, prints, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     reps = cut(classes.select("rep").join(signed.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "rep"), "representatives")
     clusters = connected(_candidates(reps, percent))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import ship
+from .common import process_cache, ship
 
 ship(__name__)
 
@@ -103,16 +103,14 @@ def _counter(path: str):
     return count
 
 
-_COUNTERS: dict = {}
-
-
 def _count(path: str):
     def count(batches):
         import pyarrow as pa
 
-        if path not in _COUNTERS:
-            _COUNTERS[path] = _counter(path)
-        counter = _COUNTERS[path]
+        counters = process_cache("token counters")
+        if path not in counters:
+            counters[path] = _counter(path)
+        counter = counters[path]
         splits = not path.endswith(".model") and _byte_level(path) is not None
         for batch in batches:
             for part in K.slices(batch, "text", BATCH_BYTES):

@@ -149,7 +149,7 @@ def test_rates_meet_targets_and_equal_numpy(spark):
         before, w = w, np.maximum(0, y - p @ np.array(u))
         y = w + beta * (w - before)
     assert np.allclose(sorted(got), sorted(w)) and (got >= 0).all()
-    assert np.allclose((w * n) @ p, targets, rtol=1e-2)
+    assert np.abs((w * n) @ p - targets).max() <= mixing.CLOSE * sum(targets) * 1.01
     none = mixing.fit_rates(df, [n.sum(), 0.0, 0.0])  # out of reach: the error still falls
     got = np.array([r[0] for r in df.select(mixing.rate(F.col("p"), none)).collect()])
     assert (got >= 0).all() and abs(got @ (n * 1.0) - n.sum()) < n.sum()
@@ -163,7 +163,9 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(docs.limit(0), labels).collect() == [] and len(mixing.mix(docs, labels.limit(0)).collect()) == 6
 
 
-def test_cropped_and_edited_copies_are_found(spark):
+@pytest.mark.parametrize("most", [300_000, 0])
+def test_cropped_and_edited_copies_are_found(spark, monkeypatch, most):
+    monkeypatch.setattr(image_copies, "MOST_BROADCAST", most)
     rng = np.random.default_rng(4)
 
     def picture():
@@ -194,5 +196,5 @@ def test_recall_of_edited_copies(spark):
     sf = "/root/testdata/sf0.1"
     found = {(r["query_id"], r["match_id"]) for r in image_copies.op6_image_copies(spark, sf).collect()}
     asked = [r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 50 = 0").select("vec_id").collect()]
-    assert len(asked) >= 50 and sum((q, q) in found for q in asked) >= 0.9 * len(asked)
+    assert len(asked) >= 20 and sum((q, q) in found for q in asked) >= 0.9 * len(asked)
     assert sum(q != m for q, m in found) <= 0.1 * len(asked)

@@ -184,11 +184,12 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     texts = documents.select("doc_id", "text").filter("doc_id is not null")
     anchors = texts.mapInArrow(_find(window, seed), "seed long, doc_id long, place int")
-    repeated = anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("least")).filter("n > 1").select("seed", "least")
+    # A join of two plain shuffles is one whose hot partitions can be split, so sums are written before they are joined.
+    repeated = cut(anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("least")).filter("n > 1").select("seed", "least"), "anchors")
     met = anchors.join(repeated, "seed").select("doc_id", F.struct("place", (F.struct("doc_id", "place") == F.col("least")).alias("earliest")).alias("one"))
     places = met.groupBy("doc_id").agg(F.collect_set("one").alias("places"))
     extended = packed(texts).join(places, "doc_id").mapInArrow(_extend(window, seed), "seed long, doc_id long, earliest boolean, starts array<int>, windows array<long>")
-    earliest = extended.filter("earliest").groupBy("seed").agg(F.first("windows").alias("known"))
+    earliest = extended.filter("earliest").select("seed", F.col("windows").alias("known"))  # one row a seed
     pairs = F.arrays_zip("starts", "windows")
     settled = (
         extended.filter("not earliest")
@@ -197,7 +198,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     settled = cut(settled, "extended")
     edges = settled.select("seed", "doc_id", F.explode("open").alias("one")).select("seed", "doc_id", F.col("one.starts").alias("start"), F.col("one.windows").alias("hash"))
-    first = edges.groupBy("seed", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("least")).filter("n > 1").drop("n")
+    first = cut(edges.groupBy("seed", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("least")).filter("n > 1").drop("n"), "edges")
     later = edges.join(first, ["seed", "hash"]).filter(F.struct("doc_id", "start") > F.col("least")).select("doc_id", F.array("start").alias("gone"))
     gone = settled.filter("size(gone) > 0").select("doc_id", "gone").unionByName(later).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("starts"))
     joined = packed(documents).join(gone, "doc_id", "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))

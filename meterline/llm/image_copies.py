@@ -26,6 +26,8 @@ from .common import cut, ship
 ship(__name__)
 
 SCALES, KEYPOINTS, BITS, TABLES, RADIUS = (1.0, 0.7), 12, 256, 8, 10
+#: Rows of the queries' tables (about 100 bytes each) up to which they are broadcast.
+MOST_BROADCAST = 300_000
 TURNS, MOST_VOTES, LEAST_ONES, SHIFT = 32, 5, 24, 6
 
 
@@ -134,7 +136,8 @@ def find_copies(queries: DataFrame, images: DataFrame, carry_votes: int = MOST_V
     q = cut(of_query.mapInArrow(_describe, schema), "query-corners")
     i = cut(of_image.mapInArrow(_describe, schema), "image-corners")
     left = _keys(q).select("key", *[F.col(c).alias(f"q_{c}") for c in q.columns])
-    met = left.join(_keys(i), "key")
+    few = q.count() * TABLES <= MOST_BROADCAST  # counted, not guessed: then the images' corners, the larger side, are not shuffled
+    met = _keys(i).join(F.broadcast(left) if few else left, "key")
     distance = sum((F.bit_count(F.col(f"q_d{k}").bitwiseXOR(F.col(f"d{k}"))) for k in range(4)), F.lit(0))
     met = met.filter(distance < TABLES)
     ratio = F.col("scale") / F.col("q_scale")

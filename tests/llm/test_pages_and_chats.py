@@ -155,6 +155,21 @@ def test_rates_meet_targets_and_equal_numpy(spark):
     assert (got >= 0).all() and abs(got @ (n * 1.0) - n.sum()) < n.sum()
 
 
+def test_rates_meet_each_domain_of_the_targets(spark):
+    """A small domain too is met within a hundredth of its own target, not of all words; defaults are not those that are met soon."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet([2, 1, 0.5], 300)
+    n = rng.integers(1, 50, 300).astype(float)
+    targets = [n.sum() * x for x in (0.85, 0.13, 0.02)]
+    df = spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(n, p)], "n double, p array<double>")
+    rate = mixing.rate(F.col("p"), mixing.fit_rates(df, targets))
+    reached = df.agg(*[F.sum(F.col("n") * F.get("p", F.lit(i)) * rate) for i in range(3)]).first()
+    assert np.allclose(reached, targets, rtol=1e-2) and np.abs(np.array(reached) - targets).max() <= 1e-6 * sum(targets) * 1.01
+    assert mixing.TARGETS == {"high_quality": 0.85, "low_quality": 0.12, "toxic": 0.03}
+
+
 def test_mixing_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c", "x"), (2, None, "x"), (3, "", "x"), (None, "!!!! %%%% ####", "x"), (4, "long " * 50_000, "x"), (1, "a b c", "x")], "doc_id long, text string, n string")
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (4, None, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")

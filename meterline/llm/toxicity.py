@@ -80,7 +80,7 @@ def language_model(documents: DataFrame, text_col: str = "text"):
 def restore_word(token: str, model) -> str:
     """The likeliest clean word behind a noisy token (lower case): Viterbi over its lattice; a state is the last two symbols."""
     symbol = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27
-    states = {(0, 0): (0.0, "")}
+    states: dict = {(0, 0): (0.0, None)}  # score, and the path as a chain of letters from the last one, so that long tokens take linear time
     for i, c in enumerate(token):
         run = i and token[i - 1] == c
         if c in LEET:
@@ -94,13 +94,17 @@ def restore_word(token: str, model) -> str:
             for x, cost in arcs:
                 if x:
                     s = symbol(x)
-                    state, new = (b, s), (score + cost + float(model[a * SYMBOLS**2 + b * SYMBOLS + s]), word + x)
+                    state, new = (b, s), (score + cost + float(model[a * SYMBOLS**2 + b * SYMBOLS + s]), (word, x))
                 else:
                     state, new = (a, b), (score + cost, word)
-                if state not in after or new > after[state]:
+                if state not in after or new[0] > after[state][0]:
                     after[state] = new
         states = after
-    return max((score + float(model[a * SYMBOLS**2 + b * SYMBOLS]), word) for (a, b), (score, word) in states.items())[1]
+    word, letters = max(((score + float(model[a * SYMBOLS**2 + b * SYMBOLS]), word) for (a, b), (score, word) in states.items()), key=lambda x: x[0])[1], []
+    while word:
+        word, x = word
+        letters.append(x)
+    return "".join(reversed(letters))
 
 
 def _patterns():
@@ -120,6 +124,8 @@ def restore_text(text: str, model, kept: dict[str, str]) -> str:
 
     def clean(found):
         token = found[0]
+        if len(token) > 64:  # not kept: seldom met again
+            return restore_word(token, model)
         if token not in kept:
             if len(kept) > 200_000:
                 kept.clear()
@@ -127,30 +133,39 @@ def restore_text(text: str, model, kept: dict[str, str]) -> str:
         return kept[token]
 
     text = spaced.sub(clean, text)
-    return noisy.sub(lambda m: clean(m) if len(m[0]) <= 64 and sign.search(m[0]) else m[0], text)
+    return noisy.sub(lambda m: clean(m) if sign.search(m[0]) else m[0], text)
 
 
 _PATTERNS: list = []
 
 
 def _flagged(data, offsets):
-    """The documents of a slice that may hold noisy tokens."""
+    """The documents of a slice that may hold noisy tokens: all that the patterns of restore_text match, and others.
+
+    Texts with a byte beyond ASCII are all flagged, as lower case and repeated letters can't be told from bytes there. In the others a
+    sign of a token stands before a letter, or before a sign and after a letter or separator.
+    """
     import numpy as np
 
     letter = _classes() > 0
-    sign, mark = np.zeros(256, bool), np.zeros(256, bool)
+    sign, mark, joint = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
     sign[[ord(x) for x in LEET if ord(x) < 128]] = True
     mark[[ord(x) for x in "_*~^"]] = True
-    a = np.concatenate((letter[data], np.zeros(8, bool)))
-    s = np.concatenate((sign[data], np.zeros(8, bool)))
+    joint[[ord(x) for x in ".-_*~^'"]] = True
+    after = lambda x: np.concatenate((x, np.zeros(8, bool)))
+    a, s = after(letter[data]), after(sign[data])
     low = np.concatenate((K.FOLD[data], np.zeros(8, np.uint8)))
     n = len(data)
     before = np.concatenate(([False], (a | s)[: n - 1])) if n else a[:0]
-    alone = (a | s)[:n] & ~before & ~(a | s)[1 : n + 1]
-    alone = np.concatenate((alone, np.zeros(8, bool)))
-    found = s[:n] & a[1 : n + 1] | a[:n] & (low[:n] == low[1 : n + 1]) & (low[:n] == low[2 : n + 2])
+    led = np.concatenate(([False], (letter | joint)[data[: n - 1]])) if n else a[:0]
+    first, last = offsets[:-1][offsets[:-1] < offsets[1:]], offsets[1:][offsets[:-1] < offsets[1:]] - 1
+    left, right = before.copy(), (a | s)[1 : n + 1].copy()
+    left[first], right[last] = False, False
+    alone = after((a | s)[:n] & ~left & ~right)
+    found = s[:n] & (a[1 : n + 1] | s[1 : n + 1] & led) | a[:n] & (low[:n] == low[1 : n + 1]) & (low[:n] == low[2 : n + 2])
     found |= alone[:n] & alone[2 : n + 2] & alone[4 : n + 4] & alone[6 : n + 6]
-    found |= mark[data] & before & a[1 : n + 1]
+    found |= mark[data] & before & (a | s)[1 : n + 1]
+    found |= data >= 0x80
     total = np.concatenate(([0], np.cumsum(found)))
     return np.flatnonzero(total[offsets[1:]] > total[offsets[:-1]])
 

@@ -134,6 +134,20 @@ def test_held_out_accuracy(spark):
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.8 and n[0, 0] / (n[0, 0] + n.get((0, 1), 0)) > 0.98
 
 
+def test_screen_holds_all_that_patterns_match():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    model = rng.normal(-3, 1, toxicity.SYMBOLS**3).astype(np.float32)
+    texts = ["an a$$", "an a55", "k1$$", "\u00e9\u00e9\u00e9", "\u00e9 \u00e9 \u00e9 \u00e9", "\u0434\u0443\u0440\u0430\u0430\u0430\u043a", "\u00c9\u00e9\u00e9", "x\u20acy", "word", "i d i o", "t.h.e.n", "at", "", "a.55", "a_5", "i" + "d1" * 50]
+    texts += ["".join(rng.choice(list("abA5$1! ._*-',(\u00e92\n"), rng.integers(0, 9))) for _ in range(20_000)]
+    want = [toxicity.restore_text(t.lower(), model, {}) for t in texts]
+    got = toxicity.restored(pa.array(texts, pa.large_string()), model, {}).to_pylist()
+    assert [x.lower() for x in got] == want
+    long = "i" + "d1" * 50
+    assert toxicity.restore_text(long, model, {}) == toxicity.restore_word(long, model) != long
+
+
 def test_rates_meet_targets_and_equal_numpy(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([2, 1, 0.5], 300)

@@ -137,6 +137,13 @@ def shortest_unique_prefix(spark, d):
     return I.unique_prefix(rows, "label", "print", 2, 32)
 
 
+@query("WITH k AS (SELECT c_mktsegment AS label, md5(CAST(c_custkey AS VARCHAR)) AS print FROM customer), p AS (SELECT label, print, substr(print, 1, n) AS prefix, count(*) OVER (PARTITION BY label, substr(print, 1, n)) AS c FROM k, range(2, 33) r(n)) SELECT label, print, arg_min(prefix, length(prefix)) AS prefix FROM p WHERE c = 1 GROUP BY ALL")
+def shortest_unique_prefix_all(spark, d):
+    """Of all customers; shortest_unique_prefix has those below 60 only, as its SQL does."""
+    rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("label"), F.md5(F.col("c_custkey").cast("string").cast("binary")).alias("print"))
+    return I.unique_prefix(rows, "label", "print", 2, 32)
+
+
 @query("SELECT client, session, CAST(sum(total) AS BIGINT) AS total FROM fact WHERE client = 'codex' GROUP BY ALL HAVING max(day) < DATE '2024-01-20'", fact=True)
 def ended_session_capture(spark, d):
     rows = usage_fact(spark, d).filter("client = 'codex'")

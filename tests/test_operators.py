@@ -1,6 +1,7 @@
 """Operators on small examples: closures, streaks, archives, deltas, quotas, prices, subscriptions, transcripts, sources, streams."""
 
 import datetime as dt
+import hashlib
 import json
 import sqlite3
 
@@ -208,3 +209,12 @@ def test_event_logs_replay_until_damage(spark):
 def test_previews_keep_fields_until_complete(spark):
     df = spark.createDataFrame([("d", 1, 5, 50, False), ("d", 2, 6, None, True), ("d", 3, 7, None, False)], "device string, at long, today long, month long, partial boolean")
     assert [r["month"] for r in devices.carried(df, ["device"], ["at"], ["month"], F.col("partial")).orderBy("at").collect()] == [50, 50, None]
+
+
+def test_prefixes_of_all_customers(spark, sf_dir):
+    from meterline.plans import catalog
+
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment", "c_custkey").collect()
+    prints = [(label, hashlib.md5(str(key).encode()).hexdigest()) for label, key in customers]
+    least = lambda label, x: next(x[:n] for n in range(2, 33) if sum(m == label and y[:n] == x[:n] for m, y in prints) == 1)
+    assert len(prints) > 59 and rows(catalog.QUERIES["shortest_unique_prefix_all"](spark, sf_dir)) == sorted((m, x, least(m, x)) for m, x in prints)

@@ -9,13 +9,16 @@ that links reach.
 2. TREES independent trees branch each representative on BRANCH minwise tokens at every node. A node's members agree on
    the path's tokens. Two documents of similarity 0.8 part in all trees at once with a probability below 1e-9 for any depth:
    a path survives a level with 1 - (1 - 0.8 p)^2, whose fixed point is p = 0.9375, and 0.0625^8 = 2e-10.
-3. Nodes of at most NODE members are compared exhaustively on their minwise tokens. A larger node compares all members with
-   one pivot, keeps as candidates those within reach of it, takes out those so close to it that all their partners are within
-   reach too (the triangle inequality of the Jaccard distance), and branches the rest again. No node is compared pairwise
-   beyond NODE members, and work in a level is linear.
-4. Candidate links join into clusters, which hold every component whole up to the error above. Each cluster's full sets are
-   compared exhaustively, and its components found; the links here are exact. Clusters over CLUSTER members or
-   CLUSTER_TOKENS tokens are compared in blocks, pair of blocks by pair of blocks, so that no task holds one whole.
+3. Nodes of at most NODE members are compared exhaustively on their minwise tokens; members that candidate links join are a
+   group. A larger node compares all members with PIVOTS of them, gathers those within reach of a pivot as the pivot's ball, takes
+   out those so close to one that all their partners are in its ball too (the triangle inequality of the Hamming distance of
+   minwise tokens), and branches the rest again. Work in a level is linear.
+4. Groups, which hold at most NODE documents, are verified on full sets, a document reached meeting only those not yet
+   reached. A group of over GROUP_TOKENS tokens is verified as pairs of its blocks.
+5. A ball of at most BALL members and GROUP_TOKENS tokens is verified as a group. A larger one is cut into blocks, each of
+   which is verified with the pivot; only members that don't reach the pivot there meet the other blocks. So a ball of
+   copies, however large, costs one comparison a member, and no task holds one whole.
+6. Links that full sets confirm are the edges of a graph, whose components are found by stars that shrink in rounds.
 
 Null and empty texts have no set, and each is its own component. A document with a null doc_id links with nothing; its
 component_id is null, and it is kept. Rows repeated with the same doc_id and text are one document, and each is returned. Empty tables give empty results.
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -34,12 +37,14 @@ from .substring_dedup import packed
 
 ship(__name__)
 
-COORDS, TREES, BRANCH = 64, 8, 2
-NODE, CLUSTER, CLUSTER_TOKENS = 1024, 4096, 1 << 22
+COORDS, TREES, BRANCH, PIVOTS = 64, 8, 2, 3
+NODE, BALL, GROUP_TOKENS = 1024, 4096, 1 << 22
 #: Of COORDS tokens, so many agree at least for a candidate link; two documents of similarity 0.8 miss this once in 1e8.
 AGREE = 30
-#: Of the pivot: within reach, and so close that all partners are within reach.
+#: Of a pivot: within reach, and so close that all partners are within reach.
 REACH, CLOSE = 21, 52
+#: Tasks over which the neighbours of one vertex are dealt.
+SALTS = 8
 
 
 def _sets(words, shingle: int):
@@ -123,8 +128,16 @@ def _components(adjacent):
     return label
 
 
+def _blocks(sizes):
+    """Members in order, as blocks of at most half of GROUP_TOKENS tokens (or one member): each block's members."""
+    import numpy as np
+
+    block = np.cumsum(sizes) // max(1, GROUP_TOKENS // 2)
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(block)) + 1)
+
+
 def _small_nodes(percent: int):
-    """Candidate links inside the nodes of at most NODE members, as a star for each set of members that such links join."""
+    """The groups inside the nodes of at most NODE members: a row for each member, under a print of the group, so that equal groups of several nodes are one."""
 
     def small_nodes(batches):
         import numpy as np
@@ -132,7 +145,7 @@ def _small_nodes(percent: int):
 
         for table, bounds in runs(batches, "node"):
             rep, n, sketch = table.column("rep").to_numpy(), table.column("n").to_numpy(), _sketches(table.column("sketch"))
-            found = []
+            groups, reps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(bounds, [*bounds[1:], len(rep)]):
                 order = a + np.argsort(rep[a:b])
                 r, s, k = rep[order], n[order], sketch[order]
@@ -144,34 +157,42 @@ def _small_nodes(percent: int):
                         agree += k[:, c, None] == k[None, :, c]
                 fits = 100 * np.minimum(s[:, None], s[None, :]) >= percent * np.maximum(s[:, None], s[None, :])
                 label = _components((agree >= AGREE) & fits)
-                other = np.flatnonzero(label != np.arange(len(r)))
-                found.append(np.stack((r[label[other]], r[other])))
-            found = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+                for root in np.unique(label[label != np.arange(len(r))]):
+                    members = np.flatnonzero(label == root)
+                    blocks = [members[x] for x in _blocks(s[members])]
+                    pairs = [(x, y) for i, x in enumerate(blocks) for y in blocks[i + 1 :]]
+                    for one in [np.concatenate(x) for x in pairs] or [members]:
+                        reps.append(r[one])
+                        groups.append(np.full(len(one), K.mix(r[one].view(K.U)).sum().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(reps))], ["grp", "rep"])
 
     return small_nodes
 
 
 def _large_nodes(batches):
-    """One level of the nodes with more than NODE members: candidate links to the pivot (node null), and the next level's rows (b null)."""
+    """One level of the nodes with more than NODE members: rows of the pivots' balls (node null), and the next level's rows (ball null)."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        node, rep, pivot = (batch.column(c).to_numpy() for c in ("node", "rep", "pivot"))
-        own, other = _sketches(batch.column("sketch")), _sketches(batch.column("pivot_sketch"))
-        agree = (own == other).sum(axis=1)
-        link = (agree >= REACH) & (rep != pivot)
-        stay = np.flatnonzero((agree < CLOSE) & (rep != pivot))
+        node, rep, n = (batch.column(c).to_numpy() for c in ("node", "rep", "n"))
+        own, pivots = _sketches(batch.column("sketch")), batch.column("pivots")
+        at = np.repeat(np.arange(len(rep)), np.diff(pivots.offsets.to_numpy()))
+        pivot, agree = pivots.flatten().field("rep").to_numpy(), (own[at] == _sketches(pivots.flatten().field("sketch"))).sum(axis=1)
+        ball = np.flatnonzero(agree >= REACH)
+        leave = np.zeros(len(rep), bool)
+        leave[at[(agree >= CLOSE) | (pivot == rep[at])]] = True
+        stay = np.flatnonzero(~leave)
         key = node[stay].view(K.U)
         children = []
         for j in range(BRANCH):
             c = K.mix(key + K.U(j + 1)) % K.U(COORDS)
             children.append(K.mix(key * K.U(0xD6E8FEB86659FD93) + K.mix(c * K.U(1 << 32) + own[stay, c.astype(np.int64)])).view(np.int64))
-        nodes, reps = np.concatenate(children) if children else node[:0], np.tile(rep[stay], BRANCH)
+        nodes, kept = np.concatenate(children), np.tile(stay, BRANCH)
         yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.nulls(int(link.sum()), pa.int64()), pa.array(nodes)]), pa.concat_arrays([pa.array(pivot[link]), pa.array(reps)]), pa.concat_arrays([pa.array(rep[link]), pa.nulls(len(nodes), pa.int64())])], ["node", "a", "b"]
-        )
+            [pa.concat_arrays([pa.nulls(len(ball), pa.int64()), pa.array(nodes)]), pa.concat_arrays([pa.array(pivot[ball]), pa.nulls(len(kept), pa.int64())]), pa.array(rep[np.concatenate((at[ball], kept))]), pa.array(n[np.concatenate((at[ball], kept))])],
+            ["node", "ball", "rep", "n"],
+        )
 
 
 def _reach(sets, percent: int):
@@ -216,8 +237,8 @@ def _reach(sets, percent: int):
     return label
 
 
-def _exact(key: str, shingle: int, percent: int):
-    """Of each group of documents, its members with the least member that links reach."""
+def _exact(shingle: int, percent: int):
+    """Of each group of documents, its members with the least member that links reach: grp, rep, least."""
 
     def exact(batches):
         import numpy as np
@@ -225,7 +246,7 @@ def _exact(key: str, shingle: int, percent: int):
         import zstandard
 
         press = zstandard.ZstdDecompressor()
-        for table, bounds in runs(batches, key):
+        for table, bounds in runs(batches, "grp"):
             rep, text = table.column("rep").to_numpy(), table.column("text")
             ends = [*bounds[1:], len(rep)]
             at = 0
@@ -242,7 +263,7 @@ def _exact(key: str, shingle: int, percent: int):
                     order = np.arange(x, y)[np.argsort(rep[x:y])]
                     label = _reach([tokens[first[i - a] : first[i - a + 1]] for i in order], percent)
                     least[order - a] = rep[order][label]
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a:b]), pa.array(least)], ["rep", "least"])
+                yield pa.RecordBatch.from_arrays([table.column("grp").slice(a, b - a).combine_chunks(), pa.array(rep[a:b]), pa.array(least)], ["grp", "rep", "least"])
                 at = to
 
     return exact
@@ -251,73 +272,94 @@ def _exact(key: str, shingle: int, percent: int):
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The components of a graph of links: each linked vertex with the least vertex that it reaches.
 
-    Large-star and small-star steps alternate until no link changes; each halves the longest path or better, and each
-    round's links are written, so that a lost executor costs one round.
+    In a round every vertex hangs on the least neighbour of its neighbour (which halves paths), then all neighbours of a vertex on
+    the least one. Rounds end when no link changes. Each round's links are written, so that a lost executor costs one
+    round. The larger neighbours of one vertex are dealt over SALTS tasks.
     """
-    links = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
-    links, mark = cut(links, "links"), None
-    total = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
+    links = cut(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct(), "links")
     while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        links = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
-        least = links.groupBy("b").agg(F.min("a").alias("m"))
-        links = cut(links.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*").filter("a < b").distinct(), "links")
-        now = links.agg(total.alias("t")).first()["t"]
-        if now == mark:
-            return links.groupBy(F.col("b").alias("vertex")).agg(F.min("a").alias("least"))
-        mark = now
-
-
-def _candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Candidate links of all trees, level by level."""
-    small, found = [], []
+        parent = links.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))
+        parent = parent.select("v", "p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        dealt = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        hung = dealt.join(parent, (F.col("a") == F.col("v")) & (dealt["salt"] == parent["salt"]), "left").select(F.coalesce("p", "a").alias("a"), "b", F.col("p").isNotNull().alias("moved"))
+        hung = hung.withColumn("m", F.min("a").over(Window.partitionBy("b"))).withColumn("changed", F.col("moved") | (F.col("m") != F.col("a")))
+        pair = lambda x: F.struct(F.col("m").alias("a"), F.col(x).alias("b"))
+        found = hung.select(F.explode(F.array(pair("b"), pair("a"))).alias("x"), "changed").select("x.*", "changed").filter("a < b")
+        found = cut(found.groupBy("a", "b").agg(F.max("changed").alias("changed")), "links")
+        links = found.select("a", "b")
+        if found.filter("changed").isEmpty():
+            return links.select(F.col("b").alias("vertex"), F.col("a").alias("least"))
+
+
+def _candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Of all trees, level by level, the groups (grp, rep) and the balls (ball, rep, n; None if no node is large)."""
+    small, balls = [], []
     rows = reps.select("rep", "sketch").mapInArrow(_roots, "node long, rep long")
+    pivot = [F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)) == j, F.col("rep"))).alias(f"pivot{j}") for j in range(PIVOTS)]
+    of_node = ["n_members", "members", *[f"pivot{j}" for j in range(PIVOTS)]]
     while True:
-        nodes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n_members"), F.bit_xor(F.xxhash64("rep")).alias("members"), F.min("rep").alias("pivot")).filter("n_members > 1"), "nodes")
-        few = nodes.filter(F.col("n_members") <= NODE).groupBy("n_members", "members").agg(F.min("node").alias("node")).select("node")  # of nodes with the same members, one
-        small.append(rows.join(few, "node").select("node", "rep"))
-        large = nodes.filter(F.col("n_members") > NODE).groupBy("n_members", "members").agg(F.min("node").alias("node"), F.min("pivot").alias("pivot")).select("node", "pivot")
-        if large.isEmpty():
+        nodes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n_members"), F.bit_xor(F.xxhash64("rep")).alias("members"), *pivot).filter("n_members > 1"), "nodes")
+        once = nodes.groupBy(*of_node).agg(F.min("node").alias("node"))  # of nodes with the same members, one
+        small.append(rows.join(once.filter(F.col("n_members") <= NODE).select("node"), "node").select("node", "rep"))
+        if nodes.filter(F.col("n_members") > NODE).isEmpty():
             break
-        pivots = reps.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-        level = cut(rows.join(large.join(pivots, "pivot"), "node").join(reps.select("rep", "sketch"), "rep").select("node", "rep", "pivot", "sketch", "pivot_sketch").mapInArrow(_large_nodes, "node long, a long, b long"), "level")
-        found.append(level.filter("b is not null").select("a", "b"))
-        rows = level.filter("b is null").select("node", F.col("a").alias("rep"))
+        large = once.filter(F.col("n_members") > NODE).select("node", F.explode(F.array(*of_node[2:])).alias("rep")).filter("rep is not null")
+        pivots = cut(large.join(reps.select("rep", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("pivots")), "pivots")  # at most PIVOTS a node
+        level = cut(rows.join(pivots, "node").join(reps.select("rep", "n", "sketch"), "rep").select("node", "rep", "n", "sketch", "pivots").mapInArrow(_large_nodes, "node long, ball long, rep long, n long"), "level")
+        balls.append(level.filter("ball is not null").select("ball", "rep", "n"))
+        rows = level.filter("ball is null").select("node", "rep")
     members = reduce(DataFrame.unionByName, small).join(reps, "rep").select("node", "rep", "n", "sketch")
-    found.append(members.repartition("node").sortWithinPartitions("node").mapInArrow(_small_nodes(percent), "a long, b long"))
-    return reduce(DataFrame.unionByName, found)
+    groups = members.repartition("node").sortWithinPartitions("node").mapInArrow(_small_nodes(percent), "grp long, rep long")
+    return groups, reduce(DataFrame.unionByName, balls).distinct() if balls else None
+
+
+def _links(groups: DataFrame, balls: DataFrame | None, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The confirmed links, as stars: rep and least."""
+
+    def verified(rows: DataFrame) -> DataFrame:
+        held = rows.join(texts, "rep").select("grp", "rep", "text")
+        return held.repartition("grp").sortWithinPartitions("grp").mapInArrow(_exact(shingle, percent), "grp long, rep long, least long")
+
+    apart = F.col("rep") != F.col("least")
+    if balls is None:
+        return verified(groups.distinct()).filter(apart).select("rep", "least")
+    balls = cut(balls, "balls")
+    blocks = F.greatest(F.ceil(2 * F.col("members") / BALL), F.ceil(2 * F.col("tokens") / GROUP_TOKENS)).cast("int")
+    sizes = cut(balls.groupBy("ball").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).withColumn("blocks", F.when(blocks > 2, blocks)), "ball-sizes")
+    sized = balls.join(sizes.select("ball", "blocks"), "ball")
+    groups = groups.unionByName(sized.filter("blocks is null").select(F.xxhash64("ball").alias("grp"), "rep"))
+    links = verified(groups.distinct()).filter(apart).select("rep", "least")
+    if sizes.filter("blocks is not null").isEmpty():
+        return links
+    large = sized.filter("blocks is not null").select("ball", "blocks", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pivots = large.select("ball", "blocks").distinct().select("ball", F.col("ball").alias("rep"), every.alias("own"))
+    units = large.select("ball", "rep", "own").unionByName(pivots).distinct().withColumn("grp", F.xxhash64("ball", "own"))
+    first = cut(verified(units.select("grp", "rep")), "ball-blocks")
+    reached = units.filter("rep = ball").join(first.withColumnRenamed("least", "pivot_least"), ["grp", "rep"]).select("grp", "ball", "pivot_least")
+    rest = first.join(reached, "grp").filter(F.col("least") != F.col("pivot_least")).select("ball", "rep").distinct()  # those that don't reach the pivot in their block
+    rest = cut(rest, "ball-rest")
+    parts = rest.groupBy("ball").agg(F.ceil(2 * F.count(F.lit(1)) / BALL).cast("int").alias("parts"))
+    one = rest.join(parts, "ball").join(sizes.select("ball", "blocks"), "ball").select("ball", "rep", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int").alias("part"), every.alias("own"))
+    other = large.join(parts, "ball").select("ball", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
+    meet = one.unionByName(other).select(F.xxhash64("ball", "part", "own", F.lit(1)).alias("grp"), "rep").distinct()
+    return links.unionByName(first.filter(apart).select("rep", "least")).unionByName(verified(meet).filter(apart).select("rep", "least"))
 
 
 def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Each document with the size of its set and the smallest doc_id that links reach: doc_id, n_shingles, component_id."""
     if not 80 <= percent <= 100:
         raise ValueError("the trees' recall is worked out for a similarity of 0.8 or more")
-    spark = documents.sparkSession
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(texts.mapInArrow(_signatures(shingle), "doc_id long, n long, print1 long, print2 long, sketch binary"), "signatures")
     prints = ["n", "print1", "print2"]
-    classes = cut(signed.filter("n > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a hot class can be split in the join
-    members = signed.select("doc_id", *prints).join(classes, prints, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-    reps = cut(classes.select("rep").join(signed.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "rep"), "representatives")
-    clusters = connected(_candidates(reps, percent))
-    whole = clusters.unionByName(clusters.select(F.col("least").alias("vertex"), "least").distinct()).select(F.col("vertex").alias("rep"), F.col("least").alias("cluster"))
-    whole = whole.join(reps.select("rep", "n"), "rep")
-    sizes = cut(whole.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")), "clusters")
-    large = (F.col("members") > CLUSTER) | (F.col("tokens") > CLUSTER_TOKENS)
-    sized = whole.join(sizes, "cluster").join(packed(texts).withColumnRenamed("doc_id", "rep"), "rep")
-    exact = sized.filter(~large).select("cluster", "rep", "text")
-    exact = exact.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_exact("cluster", shingle, percent), "rep long, least long")
-    if not sizes.filter(large).isEmpty():
-        blocks = F.ceil(F.greatest(2 * F.col("members") / CLUSTER, 2 * F.col("tokens") / CLUSTER_TOKENS)).cast("int")
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        units = sized.filter(large).withColumn("blocks", blocks).withColumn("own", own)
-        units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "rep", "text")
-        links = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_exact("unit", shingle, percent), "rep long, least long")
-        exact = exact.unionByName(connected(links.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))).select(F.col("vertex").alias("rep"), "least"))
-    exact = exact.filter("rep <> least").distinct()
-    out = members.join(exact, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id"))
+    reps = cut(signed.filter("n > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "representatives")  # equal sets have equal sketches
+    groups, balls = _candidates(reps, percent)
+    links = _links(groups, balls, packed(texts.filter("doc_id is not null")).withColumnRenamed("doc_id", "rep"), shingle, percent)
+    least = connected(links, "rep", "least").withColumnRenamed("vertex", "rep")
+    classes = cut(reps.select("rep", *prints).join(least, "rep", "left").select(*prints, F.coalesce("least", "rep").alias("least")), "classes")  # written, so that a hot class can be split in the join
+    out = signed.select("doc_id", *prints).join(classes, prints, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:

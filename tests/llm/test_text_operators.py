@@ -82,10 +82,10 @@ def brute_components(rows, n):
 
 
 @pytest.mark.parametrize("shingle", [4, 5])
-@pytest.mark.parametrize("limits", [None, (4, 3, 200)])
+@pytest.mark.parametrize("limits", [None, (4, 3, 200), (3, 1000, 100)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, shingle, limits):
-    if limits:  # nodes and clusters beyond their limits
-        for name, value in zip(("NODE", "CLUSTER", "CLUSTER_TOKENS"), limits):
+    if limits:  # nodes, balls and groups beyond their limits
+        for name, value in zip(("NODE", "BALL", "GROUP_TOKENS"), limits):
             monkeypatch.setattr(near_dedup, name, value)
     rows = corpus(5)
     out = near_dedup.components(spark.createDataFrame(rows, DDL).repartition(3), shingle=shingle).collect()

@@ -1,7 +1,8 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Records are sorted by id range. The bounds of ranges come from a histogram of payload bytes over BINS equal id ranges, so they depend
-on the data alone. A shard's records follow in order of id into files that roll when their compressed size reaches
+Records are sorted by id range. The bounds of ranges come from histograms of payload bytes over prefixes of the ids' bits: a bin with more
+bytes than a shard is split by DIGIT further bits, until none is or it holds one id. So bounds depend on the data alone, dense ids beside far
+ones make no hot shard, and a shard is one task of its own. There are at most about MOST_SHARDS shards; larger tables have larger ones. A shard's records follow in order of id into files that roll when their compressed size reaches
 `roll_bytes`; a record is one gzip member. Headers and digests are made anew from the payload, with a fixed date. A file is
 written under a temporary name of its own; the manifest of finished files is written by Spark, so that only attempts that
 ended well count; then the files that it names are renamed, which may be repeated; temporary files that it doesn't name go.
@@ -11,20 +12,21 @@ are revisits that refer to it. The html is shuffled once: the few marks of revis
 and sort before their page. A hot payload costs one row a mapper in a combined minimum.
 
 Nulls: a null html is an empty payload; a null url has no target URI; a record with a null id is a response, with no id in its
-header. Repeated rows are written each, as responses if theirs is the smallest id of the payload. An empty table gives no file
+header, and lies in one of the first shards by a hash of url and html. Repeated rows are written each, as responses if theirs is the smallest id of the payload. An empty table gives no file
 and no row. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, ship
+from .common import cut, scratch, ship
 
 ship(__name__)
 
-BINS, SHARD_BYTES, ROLL_BYTES = 1 << 12, 8 << 20, 4 << 20
+DIGIT, MOST_SHARDS, SHARD_BYTES, ROLL_BYTES = 12, 1 << 16, 8 << 20, 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, temporary string, shard int, records long, bytes long, first_id long, last_id long"
@@ -112,26 +114,54 @@ def _commit(out_dir: str):
     return commit
 
 
+def _bounds(sizes: DataFrame, least: int, most: int, shard_bytes: int) -> list[int]:
+    """The first ids of the shards, from rows (page_id, bytes). The driver holds bounds and heavy bins, both at most about MOST_SHARDS."""
+    sign, bounds = 1 << 63, set()
+    spark = sizes.sparkSession
+    bits = ((least + sign) ^ (most + sign)).bit_length()
+    shift, top = max(0, bits - DIGIT), True
+    rows = sizes.select(F.col("page_id").bitwiseXOR(F.lit(-sign)).alias("u"), "bytes")  # in unsigned order
+    while True:
+        start = F.shiftleft(F.shiftrightunsigned("u", shift), shift).bitwiseXOR(F.lit(-sign))  # the bin's first id
+        parent = F.lit(0) if top else F.shiftrightunsigned(F.col("start").bitwiseXOR(F.lit(-sign)), parent_shift)
+        bins = rows.groupBy(start.alias("start")).agg(F.sum("bytes").alias("bytes")).withColumn("heavy", (F.col("bytes") > shard_bytes) & F.lit(shift > 0))
+        over = Window.partitionBy(parent).orderBy("start")  # at most 2 ** DIGIT bins
+        before = F.coalesce(F.sum("bytes").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        part = lambda x: F.floor(x / shard_bytes)
+        first = F.lag("heavy").over(over)
+        cut_here = first.isNull() | first | F.col("heavy") | (part(F.col("before")) != part(F.coalesce(F.lag("before").over(over), F.lit(-1))))
+        found = bins.withColumn("before", before).withColumn("cut", cut_here).filter("cut or heavy").select("start", "heavy").collect()
+        bounds.update(r["start"] for r in found)
+        heavy = [(r["start"],) for r in found if r["heavy"]]
+        if not heavy:
+            return sorted(bounds)
+        rows = rows.withColumn("start", start).join(F.broadcast(spark.createDataFrame(heavy, "start long")), "start").drop("start")
+        parent_shift, shift, top = shift, max(0, shift - DIGIT), False
+
+
 def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write the pages under out_dir; the manifest: file, shard, records, bytes, first_id, last_id."""
     spark = pages.sparkSession
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    least, most = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    least, most = least or 0, most or 0
-    width = (most - least) // BINS + 1
-    id_bin = F.coalesce(F.floor((F.col("page_id") - least) / width).cast("int") if width > 1 else (F.col("page_id") - least).cast("int"), F.lit(-1))
-    filled = {r["bin"]: r["bytes"] for r in pages.groupBy(id_bin.alias("bin")).agg(F.sum(F.octet_length("html") + 1024).alias("bytes")).collect()}  # at most BINS + 1 rows
-    shards, total = [], 0
-    for b, size in sorted(filled.items()):
-        shards.append((b, total // shard_bytes))
-        total += size
-    numbers = F.broadcast(spark.createDataFrame(shards, "bin int, shard int"))  # at most BINS + 1 rows
+    sizes = cut(pages.select("page_id", (F.octet_length("html") + 1024).cast("long").alias("bytes")), "sizes")
+    has_id = F.col("page_id").isNotNull()
+    least, most, total, unnamed = sizes.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.when(~has_id, F.col("bytes"))), F.lit(0))).first()
+    shard_bytes = max(shard_bytes, total // MOST_SHARDS)
+    extra = -(-unnamed // shard_bytes)  # the shards of rows without an id come first
+    bounds = _bounds(sizes.filter(has_id), least, most, shard_bytes) if least is not None else []
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series(np.searchsorted(np.array(bounds, np.int64), ids.to_numpy(np.int64), side="right") - 1 + extra, dtype="int32")
+
+    shard = F.when(has_id, place(F.coalesce("page_id", F.lit(0)))).otherwise(F.pmod(F.xxhash64("url", "html"), F.lit(max(1, extra))).cast("int"))
     prints = pages.select("page_id", F.octet_length("html").alias("n"), F.sha1(F.encode("html", "UTF-8")).alias("sha1")).filter((F.col("n") >= revisit_bytes) & F.col("page_id").isNotNull())
     first = prints.groupBy("sha1", "n").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     marks = prints.join(first, ["sha1", "n"]).filter("page_id <> refers_to").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
-    rows = pages.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks).withColumn("bin", id_bin).join(numbers, "bin").drop("bin")
-    parts = max(1, min(len({s for _, s in shards}), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sorted_rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("refers_to").asc_nulls_last(), "url", "html")
+    rows = pages.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks).withColumn("shard", shard)
+    sorted_rows = rows.repartitionById(max(1, extra + len(bounds)), F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("refers_to").asc_nulls_last(), "url", "html")
     manifest = f"{out_dir}/_manifest"
     sorted_rows.mapInArrow(_write(out_dir, roll_bytes), MANIFEST).write.parquet(manifest)
     spark.read.parquet(manifest).select("file", "temporary").mapInArrow(_commit(out_dir), "file string").write.format("noop").mode("overwrite").save()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import ship
+from .common import cut, ship
 
 ship(__name__)
 
@@ -226,48 +226,15 @@ def _train_features(model):
     return train_features
 
 
-def _texts_with(flat, number):
-    """The distinct features, and how many distinct texts hold each."""
+def weights(a, b, n1: float, n0: float):
+    """Of features that a of n1 toxic and b of n0 clean texts hold: which enter the lexicon, and their log ratios."""
     import numpy as np
 
-    order = np.lexsort((number, flat))
-    flat, number = flat[order], number[order]
-    new = np.ones(len(flat), bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (number[1:] != number[:-1])
-    return np.unique(flat[new], return_counts=True)
-
-
-def _fit(batches):
-    """The lexicon of a bounded sample, which is one partition."""
-    import numpy as np
-    import pyarrow as pa
-
-    numbers: dict[int, dict[int, int]] = {0: {}, 1: {}}
-    seen: dict[int, list] = {0: [(np.zeros(0, np.int64), np.zeros(0, np.int32))], 1: [(np.zeros(0, np.int64), np.zeros(0, np.int32))]}
-    for batch in batches:
-        label, lists = batch.column("label").to_numpy(), batch.column("features")
-        number = np.array([numbers[y].setdefault(x, len(numbers[y])) for y, x in zip(label.tolist(), batch.column("print").to_pylist())], np.int32)
-        owner = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
-        flat = lists.flatten().to_numpy()
-        for y in (0, 1):
-            own = label[owner] == y
-            seen[y].append((flat[own], number[owner[own]]))
-    candidates, times = _texts_with(*(np.concatenate(x) for x in zip(*seen.pop(1))))
-    often = times >= max(LEAST, SHARE * len(numbers[1]))
-    candidates, a = candidates[often], times[often].astype(float)
-    b = np.zeros(len(candidates))
-    if len(candidates):
-        flat, number = (np.concatenate(x) for x in zip(*seen.pop(0)))
-        known = candidates[np.minimum(np.searchsorted(candidates, flat), len(candidates) - 1)] == flat
-        found, times = _texts_with(flat[known], number[known])
-        b[np.searchsorted(candidates, found)] = times
-    n1, n0 = float(len(numbers[1])), float(len(numbers[0]))
     share = (a + b) / max(1.0, n1 + n0)
     part = lambda x, p: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(p, 1e-12)), 0)
     llr = 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
     ratio = (a + 0.25) / (n1 + 1) / ((b + 0.25) / (n0 + 1))
-    good = (llr >= LLR) & ((b == 0) | (ratio >= RATIO))
-    yield pa.RecordBatch.from_arrays([pa.array(candidates[good]), pa.array(np.minimum(np.log(ratio[good]), CAP))], ["feature", "weight"])
+    return (llr >= LLR) & ((b == 0) | (ratio >= RATIO)), np.minimum(np.log(ratio), CAP)
 
 
 def fit(labelled: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> dict[int, float]:
@@ -277,8 +244,18 @@ def fit(labelled: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
     share = {y: min(1.0, most / max(1, sizes.get(y, 0))) for y, most in ((0, most_clean), (1, most_toxic))}
     place = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(1 << 20)) / float(1 << 20)
     some = rows.filter(place < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).select("text", "label")
-    lexicon = some.mapInArrow(_train_features(model), "label int, print long, features array<long>").repartition(1).mapInArrow(_fit, "feature long, weight double")
-    return {r["feature"]: r["weight"] for r in lexicon.collect()}
+    import numpy as np
+
+    texts = cut(some.mapInArrow(_train_features(model), "label int, print long, features array<long>"), "train")
+    known = {r["label"]: r["n"] for r in texts.select("label", "print").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = float(known.get(1, 0)), float(known.get(0, 0))
+    once = texts.select("label", "print", F.explode("features").alias("feature")).distinct()
+    counts = once.groupBy("feature").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+    often = counts.filter(F.col("a") >= max(LEAST, SHARE * n1)).collect()  # a text holds a bounded share of these: at most its number of features over SHARE, on average
+    if not often:
+        return {}
+    good, weight = weights(np.array([float(r["a"]) for r in often]), np.array([float(r["b"]) for r in often]), n1, n0)
+    return {r["feature"]: float(w) for r, g, w in zip(often, good, weight) if g}
 
 
 def _score(model, lexicon: dict[int, float]):

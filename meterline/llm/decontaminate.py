@@ -8,7 +8,8 @@ the hash set; windows that pass are compared word by word with the test windows
 result. Documents are never moved: only hits and one small row per document are. The set's size is counted first. Beyond
 MOST_WINDOWS windows nothing is broadcast: all training windows are joined with the test windows by shuffle.
 
-Nulls: a null text has no words, and an item without words has no window. A null doc_id returns as null. Repeated rows are
+Nulls: a null text has no words, and an item without words has no window. The windows of items with a null item_id are hit as others are, but add no
+item. A null doc_id returns as null. Repeated rows are
 judged and returned each; items repeated with one item_id are one item. Empty tables give empty results, or documents
 without hits. Only the id and text columns are read.
 """
@@ -62,7 +63,7 @@ def _scan(words: Column, lengths: dict[int, list[int] | None]) -> Column:
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """Of each document: doc_id, print (a hash of its text), n_words, hits (numbers from 1 of the hit words) and items (ids of items with occurring windows)."""
-    grams = _windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null"), n)
+    grams = _windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), n)
     sizes = {r["n"]: r["windows"] for r in grams.groupBy("n").agg(F.count(F.lit(1)).alias("windows")).collect()}
     lengths: dict[int, list[int] | None] = dict.fromkeys(sizes)
     small = sum(sizes.values()) <= most_windows
@@ -93,13 +94,16 @@ def remove_documents(documents: DataFrame, benchmark: DataFrame, id_col: str = "
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with the hit words taken out of their texts and all else as it was."""
-    found = find_contamination(documents, benchmark, id_col, text_col).filter("size(hits) > 0").select(F.col("doc_id").alias("_hit_id"), F.col("print").alias("_hit_print"), F.col("hits").alias("_hits")).distinct()
-    joined = documents.join(found, documents[id_col].eqNullSafe(found["_hit_id"]) & (F.xxhash64(documents[text_col]) == found["_hit_print"]), "left")
-    pieces = F.regexp_extract_all(text_col, F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    found = find_contamination(documents, benchmark, id_col, text_col).filter("size(hits) > 0").select("doc_id", "print", "hits").distinct()
+    held = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))  # so no column's name meets another's
+    joined = held.join(found, F.col(f"row.`{id_col}`").eqNullSafe(F.col("doc_id")) & (F.xxhash64(f"row.`{text_col}`") == F.col("print")), "left")
+    text = F.col(f"row.`{text_col}`")
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     gap = lambda x: x.rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
     first_gap = F.when(gap(F.get(pieces, F.lit(0))), 1).otherwise(0)
-    kept = F.array_join(F.filter(pieces, lambda x, i: gap(x) | ~F.array_contains(F.col("_hits"), ((i - first_gap) / 2).cast("int") + 1)), "")
-    return joined.withColumn(text_col, F.when(F.col("_hits").isNotNull(), kept).otherwise(F.col(text_col))).drop("_hit_id", "_hit_print", "_hits")
+    kept = F.array_join(F.filter(pieces, lambda x, i: gap(x) | ~F.array_contains(F.col("hits"), ((i - first_gap) / 2).cast("int") + 1)), "")
+    new = F.when(F.col("hits").isNotNull(), kept).otherwise(text)
+    return joined.select(*[(new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -118,7 +122,7 @@ l AS (SELECT DISTINCT n FROM g),
 s AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM d, l, unnest(range(1, len(ws) - n + 2)) AS r(i) WHERE len(ws) >= n),
 h AS (SELECT s.doc_id, s.i, s.n, g.item_id FROM s JOIN g ON s.n = g.n AND s.gram = g.gram),
 p AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id

@@ -144,6 +144,12 @@ def test_contamination_odd_rows_and_removal(spark):
     assert sorted((r["doc_id"] or -1, r["n_words"], len(r["hits"])) for r in found.collect()) == [(-1, 13, 13), (1, 15, 13), (1, 15, 13), (2, 2, 0), (3, 0, 0)]
     assert sorted(r["items"] for r in decontaminate.remove_documents(docs, items).collect()) == ["b", "d"]
     assert sorted((r["items"], r["text"]) for r in decontaminate.remove_spans(docs, items).collect() if r["items"] == "a")[0][1].replace(" ", "") == "Keep,;this."
+    clash = docs.select("doc_id", "text", docs["items"].alias("_hits"), docs["items"].alias("hits"), docs["items"].alias("print"))
+    assert sorted((r["hits"], r["text"].replace(" ", "")) for r in decontaminate.remove_spans(clash, items).collect() if r["doc_id"] == 1) == [("a", "Keep,;this.")] * 2
+    unnamed = decontaminate.find_contamination(docs, items.selectExpr("cast(null as long) as item_id", "text")).collect()
+    assert all(len(r["hits"]) == (13 if r["doc_id"] in (None, 1) else 0) and r["items"] == [] for r in unnamed)
+    long = spark.createDataFrame([(1, "z " * 200_000 + words)], "doc_id long, text string")
+    assert [(r["n_words"], len(r["hits"])) for r in decontaminate.find_contamination(long, items).collect()] == [(200_013, 13)]
     none = decontaminate.find_contamination(docs, items.limit(0)).collect()
     assert len(none) == 5 and not any(r["hits"] for r in none)
     assert decontaminate.find_contamination(docs.limit(0), items).collect() == []

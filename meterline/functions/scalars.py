@@ -235,10 +235,16 @@ def duration(ms: Column) -> Column:
 
 
 def stable_colour(value: Column, colours: int = 12) -> Column:
-    """A colour number by a 31-multiplier hash in 32 bits."""
-    chars = F.filter(F.split(F.coalesce(value, F.lit("")), ""), lambda c: c != "")
-    total = F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return (total % colours).cast("int")
+    """A colour number: the absolute value of a signed 32-bit hash with multiplier 31 over the characters' first UTF-16 units."""
+    text = F.coalesce(value, F.lit(""))
+    at = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+
+    def step(h: Column, i: Column) -> Column:
+        point = F.ascii(F.substring(text, i, F.lit(1))).cast("long")
+        unit = F.when(point > 0xFFFF, F.shiftright(point, 10) + 0xD7C0).otherwise(point)
+        return F.pmod(h * 31 + unit + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+
+    return (F.abs(F.aggregate(at, F.lit(0).cast("long"), step)) % colours).cast("int")
 
 
 def prompt_text(value: Column) -> Column:
@@ -270,38 +276,99 @@ def quota_percent(funds: Column, spent: Column) -> Column:
     return F.when(funds + spent > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), funds / (funds + spent) * 100)))
 
 
+MOST_RETRY_AFTER_MS, RETRY_JITTER_MS, RETRY_BASE_MS, RETRY_MOST_MS = 3_600_000, 5_000, 5_000, 300_000
+
+
 def retry_delay(value: Column, now: Column) -> Column:
-    """Milliseconds from a Retry-After header: seconds, or an HTTP date."""
+    """Milliseconds from a Retry-After header, seconds or an HTTP date, from 0 to an hour; null for anything else."""
     date = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.when(value.rlike(r"^\s*\d+(\.\d+)?\s*$"), (value.try_cast("double") * 1000).cast("long")).when(date.isNotNull(), F.greatest(F.lit(0), F.unix_millis(date) - F.unix_millis(now)))
+    ms = F.when(value.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.trim(value).try_cast("double") * 1000).when(date.isNotNull(), (F.unix_millis(date) - F.unix_millis(now)).cast("double"))
+    return F.when(ms.isNotNull(), F.least(F.lit(float(MOST_RETRY_AFTER_MS)), F.greatest(F.lit(0.0), ms))).cast("long")
+
 
+def backoff(attempt: Column, part: Column, retry_after_ms: Column | None = None, base_ms: int = RETRY_BASE_MS, most_ms: int = RETRY_MOST_MS) -> Column:
+    """The delay before the next attempt (J30), rounded up; part is a number in [0, 1) that stands for chance.
 
-def backoff(attempt: Column, base_ms: int = 1000, most_ms: int = 60_000, seed: Column | None = None) -> Column:
-    """Exponential delay with a jitter that the seed decides."""
-    whole_delay = F.least(F.lit(float(most_ms)), base_ms * F.pow(F.lit(2.0), attempt))
-    part = F.pmod(F.xxhash64(seed if seed is not None else attempt), F.lit(1000)) / 1000.0
-    return (whole_delay * (0.5 + part / 2)).cast("long")
+    What the server asked for, with a tenth of it (5 seconds at most) as jitter; else half of the bound and as much of the other half as
+    part says. The bound doubles with each attempt from the second on, up to most_ms.
+    """
+    exponent = F.greatest(F.lit(0), F.least(F.lit(30), F.floor(F.coalesce(F.nullif(attempt, F.lit(0)), F.lit(1))) - 1))
+    bound = F.least(F.lit(float(most_ms)), base_ms * F.pow(F.lit(2.0), exponent))
+    own = F.ceil(bound / 2 + part * (bound / 2))
+    if retry_after_ms is None:
+        return own.cast("long")
+    asked = F.least(F.lit(float(MOST_RETRY_AFTER_MS)), retry_after_ms)
+    return F.when(retry_after_ms > 0, F.ceil(asked + part * F.least(F.lit(float(RETRY_JITTER_MS)), asked * 0.1))).otherwise(own).cast("long")
 
 
-# Patterns of error messages, in the order in which they win, and their codes.
+# Patterns of error messages in the order in which they win, the code of each, and the only tool to which it applies, if any. Of the
+# patterns of one rule all must match.
 ERROR_RULES = [
-    ("timed? ?out|etimedout", "timeout"), ("enoent|not found|no such file", "missing"), ("eacces|eperm|permission", "permission"), ("locked|busy", "locked"),
-    ("json|parse|syntax|malformed", "malformed"), ("401|403|unauthori[sz]ed|forbidden", "auth"), ("429|rate limit", "rate_limited"), ("econn|network|dns|socket", "network"),
+    ([r"permission denied|access is denied|operation not permitted|\beacces\b|\beperm\b"], "permission-denied", None),
+    ([r"no space left on device|read-only file system|failed to (?:create|persist|write|save).*(?:cache|artifact|manifest)|(?:cache|artifact|manifest).*(?:write|persist|save).*(?:failed|error)"], "cache-write-failed", None),
+    ([r"session (?:token )?(?:expired|invalid)|invalid (?:api )?token|not authenticated|re-authenticate|unauthorized|forbidden|status\s+(?:401|403)\b"], "authentication-failed", None),
+    ([r"\b(?:etimedout|network|https?|request|connect(?:ion)?|socket|tcp|tls|dns)\b", r"\b(?:etimedout|timed out|timeout|deadline exceeded|deadline has elapsed)\b"], "network-timeout", None),
+    ([r"malformed.*response|invalid response|expected csv format|failed to parse response|invalid json"], "invalid-response", None),
+    ([r"cannot discover .*language servers?|language server.*(?:not found|unavailable)|no .*language servers?"], "language-server-not-found", "antigravity"),
+    ([r"\brpc\b.*(?:fail|error)|(?:fail|error).*\brpc\b|failed to connect to antigravity rpc"], "rpc-failed", "antigravity"),
+    ([r"failed to connect|connection refused|connection reset|could not resolve|\bdns\b|\bnetwork\b"], "network-failed", None),
 ]
+MOST_ERROR_TEXT = 8 * 1024
+
+
+def error_code(text: Column, client: Column | None = None) -> Column:
+    """The code of an error message by the first rule that it meets, or null (J31). Some rules apply to one tool only."""
+    low = F.lower(F.trim(F.substring(F.coalesce(text, F.lit("")), 1, MOST_ERROR_TEXT)))
+    out = None
+    for patterns, code, tool in ERROR_RULES:
+        met = F.lit(True) if tool is None else F.coalesce((client if client is not None else F.lit("")) == tool, F.lit(False))
+        for pattern in patterns:
+            met = met & low.rlike(pattern)
+        out = F.when(met, code) if out is None else out.when(met, code)
+    return out
+
+
+# The states of a tool's files and of their collection that say something, and of a tool on a device.
+SOURCE_STATES, COLLECTION_STATES, CLIENT_STATES = ("detected", "missing"), ("direct", "idle", "pending", "ok", "failed"), ("active", "waiting", "missing")
+
+
+def overall_health(source: Column, collection: Column, live_tokens: Column) -> Column:
+    """One state of a tool from its files, their collection and its tokens (J32). A failure outranks missing files."""
+    known = F.coalesce(source.isin(*SOURCE_STATES), F.lit(False)) & F.coalesce(collection.isin(*COLLECTION_STATES), F.lit(False))
+    return F.when(~known, "unknown").when(collection == "failed", "attention").when(source == "missing", "unavailable").when(live_tokens > 0, "healthy").otherwise("waiting")
+
+
+def known_states(states: Column) -> Column:
+    """Of a map from tools to states, those with a known state, under the tools' ids, of spellings of one tool the least known state."""
+    named = F.transform(F.map_entries(states), lambda e: F.struct(client_id(e["key"]).alias("key"), e["value"].alias("value")))
+    kept = F.array_sort(F.filter(named, lambda e: e["key"].isNotNull() & F.coalesce(e["value"].isin(*CLIENT_STATES), F.lit(False))))
+    first = F.filter(kept, lambda e, i: (i == 0) | (F.get(kept, i - 1)["key"] != e["key"]))
+    return F.map_from_entries(first)
+
+
+def utc_day(ts: Column) -> Column:
+    """The UTC day of an instant, whatever the session's zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(ts) / 86_400_000_000).cast("int"))
+
+
+def day_state(key: Column, ends_at: Column, zone: Column, now: Column) -> Column:
+    """What day it is for a device, and of which day its numbers are (J13): before its day's end both are its day; after it, now's day in its zone; null if unknown."""
+    day = strict_day(key)
+    now_there = F.when(zone.isNotNull(), F.to_date(F.from_utc_timestamp(F.timestamp_micros(F.unix_micros(now)), zone)))
+    current = F.when(now < ends_at, day).otherwise(now_there)
+    return F.when(day.isNotNull() & ends_at.isNotNull() & current.isNotNull(), F.struct(current.alias("current"), day.alias("snapshot")))
 
 
-def error_code(text: Column) -> Column:
-    """The code of an error message by the first pattern that matches."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    out = F.when(low.rlike(ERROR_RULES[0][0]), ERROR_RULES[0][1])
-    for pattern, code in ERROR_RULES[1:]:
-        out = out.when(low.rlike(pattern), code)
-    return out.otherwise("unknown")
+# Further ids that a tool's id admits.
+CLIENT_ALIASES = {"antigravity": ["antigravity-cli"]}
 
 
-def overall_health(source: Column, collection: Column, data: Column) -> Column:
-    """One state from where data comes from, how collection went and what there is."""
-    return F.when(source == "missing", "not_found").when(collection == "failed", "error").when(collection == "partial", "degraded").when(data == "empty", "idle").when(data == "stale", "stale").otherwise("ok")
+def admitted_clients(ids: str) -> list[str]:
+    """The ids of a comma-separated list in order, each once, with those that they admit behind them (A3)."""
+    out: dict[str, None] = {}
+    for one in filter(None, (x.strip() for x in ids.split(","))):
+        out |= dict.fromkeys([one, *CLIENT_ALIASES.get(one, [])])
+    return list(out)
 
 
 def multiple(usage: Column, paid: Column) -> Column:

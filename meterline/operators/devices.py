@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import client_id, lenient_number, strict_day, utc_day
 
 def is_open(now: Column, ends_at: Column, updated_at: Column, period: str) -> Column:
-    """Does a stored period still count? Until its end; without one, while the UTC day or month is the same; all_time always."""
+    """Does a stored period still count? Until its end; without one, while the UTC day or month is the same, or if nobody knows when it was stored; all_time always."""
     if period == "all_time":
         return F.lit(True)
     unit = {"today": "day", "month": "month"}[period]
-    return F.when(ends_at.isNotNull(), now < ends_at).otherwise(F.date_trunc(unit, updated_at) == F.date_trunc(unit, now))
+    same = F.trunc(utc_day(updated_at), unit) == F.trunc(utc_day(now), unit) if unit == "month" else utc_day(updated_at) == utc_day(now)
+    return F.when(ends_at.isNotNull(), now < ends_at).otherwise(F.coalesce(same, F.lit(True)))
 
 
 def is_stale(now: Column, updated_at: Column, base_ms: Column, upload_ms: Column) -> Column:
@@ -24,7 +26,7 @@ def is_stale(now: Column, updated_at: Column, base_ms: Column, upload_ms: Column
 
 def is_plausible_day(day: Column, now: Column) -> Column:
     """Can some place on earth have this day now?"""
-    return day.between(F.to_date(now - F.expr("INTERVAL 12 HOURS")), F.to_date(now + F.expr("INTERVAL 14 HOURS")))
+    return day.between(utc_day(now - F.expr("INTERVAL 12 HOURS")), utc_day(now + F.expr("INTERVAL 14 HOURS")))
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -85,3 +87,49 @@ def carried(records: DataFrame, keys: Sequence[str], order: Sequence[str], field
     """Progressive previews keep the previous fields until a complete record comes."""
     over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return records.withColumns({f: F.when(partial, F.coalesce(F.col(f), F.last(f, ignorenulls=True).over(over))).otherwise(F.col(f)) for f in fields})
+
+
+def aggregate_devices(records: DataFrame, now: Column, period: str, values: Sequence[str], keys: Sequence[str] = (), counters: Sequence[str] = ()) -> DataFrame:
+    """Sums over devices of one period's rows, without devices whose period has ended: values, and the counters of what senders left out.
+
+    Rows: device, ends_at, updated_at, the keys, values and counters (null counts nothing). A column cost_usd is rounded to six places.
+    """
+    still = records.filter(is_open(now, F.col("ends_at"), F.col("updated_at"), period))
+    sums = [F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in (*values, *counters)]
+    out = still.groupBy(*keys).agg(*sums, F.count_distinct("device").alias("devices"))
+    return out.withColumn("cost_usd", F.round("cost_usd", 6)) if "cost_usd" in values else out
+
+
+def device_list(records: DataFrame, now: Column, base_ms: Column) -> DataFrame:
+    """The devices in order of their ids, with their age and whether they are stale (F4). Rows: device, received_at, updated_at, upload_ms and others, one a device."""
+    seen = F.coalesce("received_at", "updated_at")
+    age = F.unix_millis(now) - F.unix_millis(seen)
+    return records.withColumns({"age_ms": age, "stale": F.coalesce(is_stale(now, seen, base_ms, F.col("upload_ms")), F.lit(False))}).orderBy("device")
+
+
+def delete_devices(stored: DataFrame, gone: DataFrame, key: str = "device") -> DataFrame:
+    """The records without those of deleted devices."""
+    return stored.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def within_retention(rows: DataFrame, day: str, today: Column, days: int | None = None) -> DataFrame:
+    """Rows with a day, not after today, and with `days` given not more than so many days before it."""
+    kept = rows.filter(F.col(day).isNotNull() & (F.col(day) <= today))
+    return kept if days is None else kept.filter(F.col(day) >= F.date_sub(today, days))
+
+
+def normalized_days(observations: DataFrame) -> DataFrame:
+    """Rows (date, client, model, tokens, messages, cost_usd, active_ms; all text or numbers as they came) by day: what a valid day observed.
+
+    Days that are no date go; observations without tokens, messages and cost go, and days on which nothing is left and nobody was active. Of observations of one
+    tool and model the last by tokens stays.
+    """
+    n = lambda c: F.greatest(F.lit(0), F.floor(F.coalesce(lenient_number(F.col(c)), F.lit(0.0)) + 0.5)).cast("long")
+    rows = observations.select(strict_day(F.substring("date", 1, 10)).alias("date"), client_id(F.col("client")).alias("client"), F.coalesce(F.lower(F.trim("model")), F.lit("")).alias("model"), n("tokens").alias("tokens"), n("messages").alias("messages"), F.greatest(F.lit(0.0), lenient_number(F.col("cost_usd"))).alias("cost_usd"), n("active_ms").alias("active_ms"))
+    rows = rows.filter("date is not null")
+    seen = F.col("client").isNotNull() & ((F.col("tokens") > 0) | (F.col("messages") > 0) | (F.col("cost_usd") > 0))
+    one = rows.filter(seen).groupBy("date", "client", "model").agg(F.max_by(F.struct("tokens", "messages", "cost_usd"), F.struct("tokens", "messages", "cost_usd")).alias("o"))
+    days = one.groupBy("date").agg(F.count(F.lit(1)).alias("observations"), F.sum("o.tokens").alias("tokens"), F.sum("o.messages").alias("messages"), F.round(F.sum("o.cost_usd"), 6).alias("cost_usd"))
+    active = rows.groupBy("date").agg(F.max("active_ms").alias("active_ms"))
+    out = active.join(days, "date", "left").filter("observations is not null or active_ms > 0")
+    return out.select("date", "active_ms", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("observations", "tokens", "messages", "cost_usd")])

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def grouped_by_identity(records: DataFrame, record: str, keys: str, rounds: int = 32) -> DataFrame:
-    """Each record with the smallest record that shared keys reach. Labels spread through keys until none changes; each round is checkpointed."""
+def grouped_by_identity(records: DataFrame, record: str, keys: str) -> DataFrame:
+    """Each record with the smallest record that shared keys reach.
+
+    In a round a record takes the least label of the records that share a key with it, and then that label's own label, so labels
+    travel twice as far each round. Rounds end when no label changes; each is checkpointed.
+    """
     spark = records.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
@@ -15,13 +19,14 @@ def grouped_by_identity(records: DataFrame, record: str, keys: str, rounds: int
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meterline-"))
     held = records.select(F.col(record).alias("r"), F.explode(F.array_distinct(keys)).alias("k")).filter("k is not null")
     labels = records.select(F.col(record).alias("r"), F.col(record).alias("g")).distinct().checkpoint()
-    for _ in range(rounds):
+    while True:
         by_key = held.join(labels, "r").groupBy("k").agg(F.min("g").alias("g"))
-        after = held.join(by_key, "k").groupBy("r").agg(F.min("g").alias("new")).join(labels, "r", "right").select("r", F.least(F.coalesce("new", "g"), "g").alias("g"), (F.coalesce("new", "g") < F.col("g")).alias("changed")).checkpoint()
+        near = held.join(by_key, "k").groupBy("r").agg(F.min("g").alias("new")).join(labels, "r", "right").select("r", "g", F.least(F.coalesce("new", "g"), "g").alias("new"))
+        far = labels.select(F.col("r").alias("new"), F.col("g").alias("its"))
+        after = near.join(far, "new", "left").select("r", F.least("new", F.coalesce("its", "new")).alias("new"), "g").select("r", F.col("new").alias("g"), (F.col("new") < F.col("g")).alias("changed")).checkpoint()
         labels = after.select("r", "g")
         if after.filter("changed").isEmpty():
-            break
-    return labels.select(F.col("r").alias(record), F.col("g").alias("group"))
+            return labels.select(F.col("r").alias(record), F.col("g").alias("group"))
 
 
 def ordinals(rows: DataFrame, group: str, order: str) -> DataFrame:

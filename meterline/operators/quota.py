@@ -11,7 +11,7 @@ from ..functions.scalars import at_least, percent as clamp, quota_number
 
 # Spellings of window kinds, and the ranks of a reading's status.
 KINDS = {"session": ("session", "five_hour", "5h", "rolling", "primary"), "weekly": ("weekly", "week", "seven_day", "7d", "secondary"), "billing": ("billing", "monthly", "month", "credits", "spend")}
-STATUS_RANK = {"ok": 4, "rateLimited": 3, "error": 2, "unauthorized": 1}
+STATUS_RANK = {"ok": 3, "rateLimited": 2, "sourceRateLimited": 1, "unauthorized": 1, "unavailable": 1, "error": 1}
 RELEASE, RESET_SLACK_S, URGENCY_PARTS, FLOOR_S = 0.3, 30, 4, 60
 
 
@@ -49,12 +49,29 @@ def is_measurable(used_percent: Column, metric: Column) -> Column:
     return used_percent.isNotNull() & (F.coalesce(metric, F.lit("")) != "credits")
 
 
+def status_rank(status: Column) -> Column:
+    """How good a reading's status is; those that no table names rank last."""
+    rank = F.lit(0)
+    for name, n in STATUS_RANK.items():
+        rank = F.when(status == name, n).otherwise(rank)
+    return rank
+
+
+def metered_windows(windows: Column, kind: str | None = None) -> Column:
+    """Of an account's windows (kind, show_meter, remaining_percent) those with a meter and something to show on it."""
+    shown = lambda w: F.coalesce(w["show_meter"], F.lit(True)) & w["remaining_percent"].isNotNull()
+    return F.filter(windows, lambda w: shown(w) if kind is None else shown(w) & F.coalesce(w["kind"] == kind, F.lit(False)))
+
+
+def is_balance_only(windows: Column) -> Column:
+    """Has the account a window of credits, and none but of credits and spending?"""
+    metric = lambda w: F.coalesce(w["metric"], F.lit(""))
+    return F.exists(windows, lambda w: metric(w) == "credits") & F.forall(windows, lambda w: metric(w).isin("credits", "spend"))
+
+
 def winners(readings: DataFrame, keys: Sequence[str], stale: Column) -> DataFrame:
     """Of each account the reading to show: fresh, then best status, then most windows, then newest, then device."""
-    rank = F.lit(0)
-    for status, n in STATUS_RANK.items():
-        rank = F.when(F.col("status") == status, n).otherwise(rank)
-    best = F.struct(~stale, rank, F.col("windows"), F.col("updated_at"), F.col("device"))
+    best = F.struct(~stale, status_rank(F.col("status")), F.col("windows"), F.col("updated_at"), F.col("device"))
     rest = [c for c in readings.columns if c not in keys]
     return readings.groupBy(*keys).agg(F.max_by(F.struct(*rest), best).alias("w")).select(*keys, "w.*")
 
@@ -85,19 +102,34 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], co
 
 
 def burn_step(state: Column, sample: Column) -> Column:
-    """One step of the burn rate: up at once, down by RELEASE; a reset (less used) only sets a new base; no time passed keeps all."""
+    """One step of the burn rate: up at once, down by RELEASE; a reset (less used, or another time of reset) only sets a new base; no time passed keeps the rate, and a repeated reading all."""
     elapsed = sample["at"] - state["at"]
     instant = (sample["used"] - state["used"]) / elapsed
-    rate = F.when((sample["used"] < state["used"]) | (elapsed <= 0), state["rate"]).when(instant >= state["rate"], instant).otherwise(RELEASE * instant + (1 - RELEASE) * state["rate"])
-    return F.when(state["at"].isNull(), F.struct(sample["at"].alias("at"), sample["used"].alias("used"), F.lit(0.0).alias("rate"))).otherwise(F.struct(sample["at"].alias("at"), sample["used"].alias("used"), rate.alias("rate")))
+    reset = (sample["used"] < state["used"]) | ~sample["resets_at"].eqNullSafe(state["resets_at"])
+    rate = F.when(reset | (elapsed <= 0), state["rate"]).when(instant >= state["rate"], instant).otherwise(RELEASE * instant + (1 - RELEASE) * state["rate"])
+    new = lambda rate: F.struct(*[sample[c].alias(c) for c in ("at", "used", "resets_at", "updated_at")], rate.alias("rate"))
+    return F.when(state["at"].isNull(), new(F.lit(0.0))).when(sample["updated_at"] == state["updated_at"], state).otherwise(new(rate))
+
+
+def measured(samples: DataFrame) -> DataFrame:
+    """Samples (at in seconds, seq, used; where there are such columns, status, metric, resets_at and updated_at) that measure a burn: of good readings, of windows that aren't money, with a number."""
+    have = samples.columns
+    good = F.col("used").isNotNull()
+    if "status" in have:
+        good = good & F.coalesce(F.col("status") == "ok", F.lit(False))
+    if "metric" in have:
+        good = good & (F.coalesce(F.col("metric"), F.lit("")) != "credits")
+    text = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
+    kept = samples.filter(good & (F.col("updated_at").isNotNull() if "updated_at" in have else F.lit(True)))
+    return kept.withColumns({"at": F.col("at").cast("double"), "used": F.col("used").cast("double"), "resets_at": F.coalesce(text("resets_at"), F.lit("")), "updated_at": text("updated_at")})
 
 
 def burn_rates(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The burn rate of each window from its samples (at in seconds, used, seq), folded in order (K13). A window's samples are bounded by its retention."""
-    sample = F.struct(F.col("at").cast("double").alias("at"), F.col("seq").alias("seq"), F.col("used").cast("double").alias("used"))
-    empty = F.struct(F.lit(None).cast("double").alias("at"), F.lit(None).cast("double").alias("used"), F.lit(0.0).alias("rate"))
-    folded = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(sample)).alias("s")).withColumn("state", F.aggregate("s", empty, burn_step))
-    return folded.select(*keys, "state.*")
+    """The burn rate of each window from its samples, folded in order of (at, seq) (K13). A window's samples are bounded by its retention."""
+    sample = F.struct("at", "seq", "used", "resets_at", "updated_at")
+    empty = F.struct(*[F.lit(None).cast(k).alias(c) for c, k in (("at", "double"), ("used", "double"), ("resets_at", "string"), ("updated_at", "string"))], F.lit(0.0).alias("rate"))
+    folded = measured(samples).groupBy(*keys).agg(F.array_sort(F.collect_list(sample)).alias("s")).withColumn("state", F.aggregate("s", empty, burn_step))
+    return folded.select(*keys, "state.at", "state.used", "state.rate")
 
 
 def urgency(state: DataFrame, now_s: float) -> DataFrame:

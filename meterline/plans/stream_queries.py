@@ -26,12 +26,19 @@ def stream_dedup(spark, d):
     return K.run_to_end(K.without_repeats(events, ["event_id"]).select("event_id", "event_type"), "append")
 
 
-@query(None)
-def stream_burn_state(spark, d):
-    """Compared with the batch fold in the tests."""
+def burn_samples(spark, d):
+    """Each user's events of a type as readings of a window."""
     events = K.event_stream(spark, d)
-    samples = events.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("window"), F.unix_timestamp("ts").cast("double").alias("at"), F.col("event_id").alias("seq"), (F.floor(F.col("value") * 100 + 0.5) % 100).cast("double").alias("used"))
-    return K.run_to_end(K.burn_rates(samples), "update")
+    return events.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("window"), F.unix_timestamp("ts").cast("double").alias("at"), F.col("event_id").alias("seq"), (F.floor(F.col("value") * 100 + 0.5) % 100).cast("double").alias("used"))
+
+
+@query(
+    """WITH l AS (SELECT user_id || '|' || event_type AS w, list(struct_pack(t := CAST(floor(epoch(ts)) AS DOUBLE), used := CAST(CAST(floor(value * 100 + 0.5) AS BIGINT) % 100 AS DOUBLE), rate := CAST(0.0 AS DOUBLE)) ORDER BY floor(epoch(ts)), event_id) AS a FROM events GROUP BY ALL),
+r AS (SELECT w, list_reduce(a, lambda p, c: struct_pack(t := c.t, used := c.used, rate := CASE WHEN c.used < p.used OR c.t <= p.t THEN p.rate WHEN (c.used - p.used) / (c.t - p.t) >= p.rate THEN (c.used - p.used) / (c.t - p.t) ELSE CAST(0.3 AS DOUBLE) * ((c.used - p.used) / (c.t - p.t)) + CAST(0.7 AS DOUBLE) * p.rate END)) AS z FROM l)
+SELECT w AS "window", z.t AS "at", z.used AS used, round(z.rate, 9) AS rate FROM r"""
+)
+def stream_burn_state(spark, d):
+    return K.run_to_end(K.burn_rates(burn_samples(spark, d)), "update", keys=["window"]).withColumn("rate", F.round("rate", 9))
 
 
 @query("SELECT day, client, CAST(sum(total) AS BIGINT) AS total FROM fact GROUP BY ALL", fact=True)

@@ -216,23 +216,6 @@ def widget_snapshot(spark, d):
     return part(overview, "overview", "n").unionByName(part(models, "models", "model")).unionByName(part(trend, "trend", "day"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'not_found' WHEN 'click' THEN 'degraded' ELSE CASE WHEN value < 10 THEN 'idle' ELSE 'ok' END END AS state FROM events")
-def health_states(spark, d):
-    from ..functions.scalars import overall_health
-
-    kind = F.col("event_type")
-    state = overall_health(F.when(kind == "signup", "missing").otherwise("found"), F.when(kind == "error", "failed").when(kind == "click", "partial").otherwise("done"), F.when(F.col("value") < 10, "empty").otherwise("present"))
-    return table(spark, d, "events").select("event_id", state.alias("state"))
-
-
-@query("SELECT DISTINCT event_type, CASE event_type WHEN 'view' THEN 'timeout' WHEN 'click' THEN 'missing' WHEN 'signup' THEN 'auth' WHEN 'purchase' THEN 'rate_limited' ELSE 'unknown' END AS code FROM events")
-def error_classification(spark, d):
-    from ..functions.scalars import error_code
-
-    raw = F.create_map(*[F.lit(x) for x in ("view", "request timed out", "click", "ENOENT: no such file", "signup", "HTTP 401", "purchase", "429 slow down", "error", "odd")])
-    return table(spark, d, "events").select("event_type", error_code(raw[F.col("event_type")]).alias("code")).distinct()
-
-
 @query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'session' WHEN 1 THEN 'weekly' END AS kind, CAST(s_suppkey % 50 AS DOUBLE) AS used, 40.0::DOUBLE AS \"limit\", greatest(0.0, 40.0 - s_suppkey % 50)::DOUBLE AS remaining, least(100.0, (s_suppkey % 50) / 40.0 * 100)::DOUBLE AS used_percent FROM supplier")
 def quota_window_normalize(spark, d):
     from ..operators.quota import window_kind, window_numbers
@@ -258,15 +241,6 @@ def project_keys(spark, d):
     return table(spark, d, "part").select("p_partkey", nfc_key(F.concat(F.lit(" "), F.upper("p_name"))).alias("key"))
 
 
-@query("SELECT event_id, CAST(least(60000, 1000 * pow(2, k % 8)) AS BIGINT) AS most, true AS inside FROM fact", fact=True)
-def retry_backoff(spark, d):
-    from ..functions.scalars import backoff
-
-    rows = usage_fact(spark, d).withColumn("most", F.least(F.lit(60_000.0), 1000 * F.pow(F.lit(2.0), F.col("k") % 8)).cast("long"))
-    delay = backoff(F.col("k") % 8, seed=F.col("event_id"))
-    return rows.select("event_id", "most", ((delay >= F.floor(F.col("most") / 2)) & (delay <= F.col("most"))).alias("inside"))
-
-
 @query("SELECT device, count(*) AS n, CAST(max(batch) AS BIGINT) AS batch FROM (SELECT DISTINCT device, client, model, 1 AS batch FROM fact) GROUP BY device", fact=True)
 def client_capture(spark, d):
     rows = usage_fact(spark, d).select("device", "client", "model").distinct().withColumn("batch", F.lit(1))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.quota import RELEASE
+from ..operators.quota import RELEASE, measured
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -34,11 +34,11 @@ def without_repeats(events: DataFrame, keys: list[str], late: str = "1 day") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-BURN_STATE = "at double, used double, rate double"
+BURN_STATE = "at double, used double, rate double, resets_at string, updated_at string"
 
 
 def burn_rates(samples: DataFrame) -> DataFrame:
-    """The burn rate of each window as keyed state: the streaming twin of quota.burn_rates (K13). Samples: window, at, seq, used.
+    """The burn rate of each window as keyed state: the streaming twin of quota.burn_rates (K13). Samples: window and what quota.measured takes.
 
     A batch's samples of a window are folded in order of (at, seq); samples older than the state are void.
     """
@@ -46,21 +46,21 @@ def burn_rates(samples: DataFrame) -> DataFrame:
     def fold(key, frames: Iterator, state):
         import pandas as pd
 
-        at, used, rate = state.get if state.exists else (None, None, 0.0)
+        at, used, rate, resets_at, updated_at = state.get if state.exists else (None, None, 0.0, None, None)
         for frame in frames:
             for row in frame.sort_values(["at", "seq"]).itertuples():
                 if at is not None:
-                    if row.at < at:
+                    if row.at < at or row.updated_at is not None and row.updated_at == updated_at:
                         continue
                     elapsed = row.at - at
-                    if row.used >= used and elapsed > 0:
+                    if row.used >= used and row.resets_at == resets_at and elapsed > 0:
                         now = (row.used - used) / elapsed
                         rate = now if now >= rate else RELEASE * now + (1 - RELEASE) * rate
-                at, used = float(row.at), float(row.used)
-        state.update((at, used, rate))
+                at, used, resets_at, updated_at = float(row.at), float(row.used), row.resets_at, row.updated_at
+        state.update((at, used, rate, resets_at, updated_at))
         yield pd.DataFrame({"window": [key[0]], "at": [at], "used": [used], "rate": [rate]})
 
-    return samples.groupBy("window").applyInPandasWithState(fold, f"window string, {BURN_STATE}", BURN_STATE, "update", "NoTimeout")
+    return measured(samples).groupBy("window").applyInPandasWithState(fold, "window string, at double, used double, rate double", BURN_STATE, "update", "NoTimeout")
 
 
 def keep_latest(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
@@ -77,13 +77,31 @@ def keep_latest(path: str, keys: list[str], order: str) -> Callable[[DataFrame,
     return merge
 
 
-def run_to_end(stream: DataFrame, mode: str, shared: str | None = None) -> DataFrame:
-    """Run a stream over all that there is; the rows that it wrote. Checkpoints go to the folder in spark.checkpoint.dir if it is set."""
+def run_to_end(stream: DataFrame, mode: str, shared: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that there is; the rows that it wrote, as Parquet beside its checkpoint in the folder of spark.checkpoint.dir.
+
+    Each batch is written under its number, so that a repeated batch replaces itself. In complete mode the last batch is the result; in update
+    mode, the last row of each of `keys`; in append mode, all rows.
+    """
     import tempfile
 
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    shared = shared or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meterline-")
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared}/meterline/{name}").trigger(availableNow=True).start()
+    shared = shared or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meterline-")  # unset in tests only
+    home = f"{shared.rstrip('/')}/meterline/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/rows/batch={batch_id}")
+        done.append(batch_id)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{home}/rows/batch={max(done)}")
+    rows = spark.read.option("basePath", f"{home}/rows").parquet(f"{home}/rows")
+    if mode == "update" and keys:
+        rest = [c for c in rows.columns if c not in (*keys, "batch")]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+    return rows.drop("batch")

@@ -69,9 +69,9 @@ def test_burn_rate_rises_at_once_and_falls_slowly(spark):
 
 
 def test_streaming_burn_state_equals_the_batch_fold(spark, sf_dir):
-    from meterline.plans import catalog
+    from meterline.plans import stream_queries
 
-    stream = catalog.QUERIES["stream_burn_state"](spark, sf_dir)
+    stream = streams.run_to_end(streams.burn_rates(stream_queries.burn_samples(spark, sf_dir)), "update", keys=["window"])
     got = {r["window"]: (r["at"], r["used"], round(r["rate"], 12)) for r in stream.collect()}
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     samples = events.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("window"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), (F.floor(F.col("value") * 100 + 0.5) % 100).alias("used"))
@@ -87,6 +87,31 @@ def test_keyed_batches_merge_and_repeat_safely(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/t/v1")) == [("a", 3, 3), ("b", 1, 1), ("c", 0, 0)]
 
 
+def test_burn_rate_skips_resets_repeats_and_bad_readings(spark):
+    samples = [("w", 0, 1, 10.0, "a", "1", "ok"), ("w", 10, 2, 30.0, "a", "2", "ok"), ("w", 15, 3, 90.0, "a", "2", "ok"), ("w", 20, 4, 50.0, "b", "3", "ok"), ("w", 25, 5, 99.0, "b", "4", "error"), ("w", 30, 6, None, "b", "5", "ok"), ("w", 30, 7, 71.0, "b", "6", "ok")]
+    df = spark.createDataFrame(samples, "window string, at long, seq long, used double, resets_at string, updated_at string, status string")
+    out = quota.burn_rates(df, ["window"]).first()
+    assert (out["at"], out["used"], out["rate"]) == (30.0, 71.0, 2.1)  # 2.0, kept over the reset, then up at once
+
+
+def test_days_and_periods_do_not_depend_on_the_session_zone(spark):
+    ts = lambda x: F.lit(x).cast("timestamp")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        now, other = ts("2024-01-30 02:00:00Z"), ts("2024-01-29 23:00:00Z")
+        none = F.lit(None).cast("timestamp")
+        cases = [devices.is_open(now, none, other, "today"), devices.is_open(now, none, now, "today"), devices.is_open(now, none, none, "today"), devices.is_open(ts("2024-02-01 01:00:00Z"), none, ts("2024-01-31 23:00:00Z"), "month"), devices.is_plausible_day(F.lit("2024-01-29").cast("date"), now), devices.is_plausible_day(F.lit("2024-01-28").cast("date"), now)]
+        assert list(spark.range(1).select(*cases).first()) == [False, True, True, False, True, False]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_identity_groups_of_a_long_chain(spark):
+    df = spark.range(0, 150).selectExpr("id", "array(cast(id as string), cast(id + 1 as string)) as keys")
+    assert {r["group"] for r in identity.grouped_by_identity(df, "id", "keys").collect()} == {0}
+
+
 def test_prices_are_exact_or_unambiguous(spark):
     p = [("x/m1", 1.0), ("y/m1", 1.0), ("x/m2", 1.0), ("y/m2", 2.0), ("m3", 3.0)]
     prices = spark.createDataFrame([(k, r, r, r, r) for k, r in p], "model_key string, input_rate double, output_rate double, read_rate double, write_rate double")

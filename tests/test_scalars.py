@@ -32,13 +32,22 @@ def test_keys_need_nfc_only_beyond_ascii(spark):
     assert column(spark, ["a@b.co", "Team ＡＢ!", None, "x" * 90], lambda x: S.account_label(x)) == ["", "Team AB", "", "x" * 64]
 
 
+def _signed(text):
+    h = 0
+    for c in text:
+        unit = int.from_bytes(c.encode("utf-16-be")[:2], "big")
+        h = (h * 31 + unit + 2**31) % 2**32 - 2**31
+    return h
+
+
 def test_text(spark):
     assert column(spark, ["full@x.org", "a@b", "no-mail", "@x"], S.masked_email) == ["f***l@x.org", "a***@b", "no-mail", "@x"]
     assert column(spark, ["rollout-2024-01-02T03-04-05-abc", "rollout-2024-01-02T03-04-05", "plain"], S.session_label) == ["abc", "", "plain"]
     assert column(spark, ["x-2024-01-02T03-04-05-abc", "none"], S.session_time) == [dt.datetime(2024, 1, 2, 3, 4, 5), None]
     assert column(spark, ["C:\\Users\\me\\app\\", "/a//b/", "/"], S.project_path) == ["c:/Users/me/app", "/a/b", "/"]
     assert column(spark, ["a [Image #1]  b\n c"], S.prompt_text) == ["a b c"]
-    assert column(spark, ["ETIMEDOUT", "HTTP 429", "file not found", None], S.error_code) == ["timeout", "rate_limited", "missing", "unknown"]
+    assert column(spark, ["connect ETIMEDOUT", "HTTP 429", "open: EACCES", "rpc error", None], S.error_code) == ["network-timeout", None, "permission-denied", None, None]
+    assert column(spark, ["", "a", "zzzzzzz", "\U0001f600"], S.stable_colour) == [abs(_signed(x)) % 12 for x in ("", "a", "zzzzzzz", "\U0001f600")]
 
 
 @pytest.mark.parametrize("units,values,want", [
@@ -64,3 +73,5 @@ def test_levels(spark):
     assert column(spark, [0.0, 1.0, 25.0, 50.0, 75.0, 100.0], lambda x: S.intensity(x, most), "double") == [0, 1, 2, 3, 4, 4]
     assert column(spark, [0.0, 1.0, 26.0, 100.0], lambda x: S.widget_intensity(x, most), "double") == [0, 1, 2, 4]
     assert column(spark, ["120", "x", "Wed, 21 Oct 2015 07:28:00 GMT"], lambda x: S.retry_delay(x, F.lit("2015-10-21 07:27:00").cast("timestamp"))) == [120_000, None, 60_000]
+    assert column(spark, ["999999"], lambda x: S.retry_delay(x, F.lit("2015-10-21 07:27:00").cast("timestamp"))) == [3_600_000]
+    assert column(spark, [0, 1, 2, 3, 9, 99], lambda x: S.backoff(x, F.lit(0.5)), "long") == [3750, 3750, 7500, 15_000, 225_000, 225_000]

@@ -80,11 +80,23 @@ def exhaustion(poured: Column, left: Column, first: Column, today: Column) -> Co
 
 
 def match_accounts(subscriptions: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Each subscription's account: by key, else e-mail, else a profile name that one account has, else the only account of the provider."""
-    by = lambda c: F.count(F.lit(1)).over(Window.partitionBy("provider", c))
-    accounts = accounts.withColumns({"same_profile": by("profile"), "same_provider": F.count(F.lit(1)).over(Window.partitionBy("provider"))})
-    a = accounts.select(F.col("provider").alias("a_provider"), "account_key", F.col("email").alias("a_email"), F.col("profile").alias("a_profile"), "same_profile", "same_provider")
-    rank = F.when(F.col("bound_key") == F.col("account_key"), 1).when(F.col("email") == F.col("a_email"), 2).when((F.col("profile") == F.col("a_profile")) & (F.col("same_profile") == 1), 3).when(F.col("same_provider") == 1, 4)
-    met = subscriptions.join(a, F.col("provider") == F.col("a_provider"), "left").withColumn("rank", rank)
-    best = met.groupBy("id").agg(F.min_by("account_key", F.when(F.col("rank").isNotNull(), F.struct("rank", "account_key"))).alias("account_key"), F.min("rank").alias("rank"))
-    return best
+    """Each subscription's account: by key, else e-mail, else a profile name that one account has, else the only account of the provider.
+
+    One join a rung, each with at most one account a key, so no provider's subscriptions meet all its accounts.
+    """
+
+    def rung(key: str | None, alone: bool, name: str, asked: str | None) -> tuple[DataFrame, list[Column]]:
+        keys = ["provider", *([key] if key else [])]
+        one = accounts.groupBy(*keys).agg(F.min("account_key").alias(name), F.count(F.lit(1)).alias("n"))
+        one = one.filter("n = 1") if alone else one
+        one = one.select(F.col("provider").alias(f"{name}_provider"), *([F.col(key).alias(f"{name}_key")] if key else []), name)
+        return one, [F.col("provider") == F.col(f"{name}_provider"), *([F.col(asked) == F.col(f"{name}_key")] if asked else [])]
+
+    rungs = [("account_key", False, "r1", "bound_key"), ("email", False, "r2", "email"), ("profile", True, "r3", "profile"), (None, True, "r4", None)]
+    met = subscriptions.select("id", "provider", "bound_key", "email", "profile")
+    for one, on in (rung(*r) for r in rungs):
+        met = met.join(one, on, "left")
+    first = F.coalesce(*[F.when(F.col(f"r{i}").isNotNull(), F.struct(F.lit(i).alias("rank"), F.col(f"r{i}").alias("account_key"))) for i in range(1, 5)])
+    best = met.groupBy("id").agg(F.min(first).alias("best"))
+    return best.select("id", "best.account_key", "best.rank")
+

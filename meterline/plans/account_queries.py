@@ -299,9 +299,9 @@ def monthly_subscription_total(spark, d):
     return _subscriptions(spark, d).agg(F.sum(M.monthly_minor(F.col("amount"), F.col("months"))).cast("long").alias("monthly"), F.count(F.lit(1)).alias("plans"))
 
 
-@query(f"WITH {SUBS_SQL} SELECT id, DATE '2001-08-01' + CAST(floor((amount // 3) / ((amount - amount // 3) / greatest(1, date_diff('day', start, DATE '2001-08-01')))) AS INT) AS ends FROM sb WHERE amount > 3")
+@query(f"WITH {SUBS_SQL} SELECT id, CASE WHEN amount > amount // 3 THEN DATE '2001-08-01' + CAST(floor((amount // 3) / ((amount - amount // 3) / greatest(1, date_diff('day', start, DATE '2001-08-01')))) AS INT) END AS ends FROM sb")
 def topup_projection(spark, d):
-    rows = _subscriptions(spark, d).filter("amount > 3").withColumn("remaining", F.floor(F.col("amount") / 3).cast("long"))
+    rows = _subscriptions(spark, d).withColumn("remaining", F.floor(F.col("amount") / 3).cast("long"))
     return rows.select("id", M.exhaustion(F.col("amount"), F.col("remaining"), F.col("start"), _renewal_today()).alias("ends"))
 
 

@@ -162,9 +162,9 @@ def local_days(spark, d):
     return table(spark, d, "events").select("event_id", S.local_day(F.col("ts").cast("timestamp"), "-05:00").alias("local_day"))
 
 
-@query("SELECT event_id, CASE WHEN n >= 999950 THEN m // 10 || CASE WHEN m % 10 > 0 THEN '.' || m % 10 ELSE '' END || 'M' WHEN n >= 1000 THEN t // 10 || CASE WHEN t % 10 > 0 THEN '.' || t % 10 ELSE '' END || 'K' ELSE CAST(n AS VARCHAR) END AS compact FROM (SELECT event_id, total * 997 AS n, (total * 997 + 50) // 100 AS t, (total * 997 + 50000) // 100000 AS m FROM fact) WHERE n < 900000000", fact=True)
+@query("SELECT event_id, CASE WHEN n >= 999950000 THEN b // 10 || CASE WHEN b % 10 > 0 THEN '.' || b % 10 ELSE '' END || 'B' WHEN n >= 999950 THEN m // 10 || CASE WHEN m % 10 > 0 THEN '.' || m % 10 ELSE '' END || 'M' WHEN n >= 1000 THEN t // 10 || CASE WHEN t % 10 > 0 THEN '.' || t % 10 ELSE '' END || 'K' ELSE CAST(n AS VARCHAR) END AS compact FROM (SELECT event_id, total * 997 AS n, (total * 997 + 50) // 100 AS t, (total * 997 + 50000) // 100000 AS m, (total * 997 + 50000000) // 100000000 AS b FROM fact)", fact=True)
 def compact_numbers(spark, d):
-    rows = usage_fact(spark, d).select("event_id", (F.col("total") * 997).alias("n")).filter("n < 900000000")
+    rows = usage_fact(spark, d).select("event_id", (F.col("total") * 997).alias("n"))
     return rows.select("event_id", S.compact(F.col("n")).alias("compact"))
 
 

@@ -36,17 +36,24 @@ BYTE_VALUE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x9FB21C651E98DF25)
 
 
+#: Powers that a process keeps of each base (16 bytes each); longer slices make theirs anew.
+KEPT_POWERS = 1 << 21
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64, at least n of each."""
     kept = process_cache("powers")
-    if base not in kept or len(kept[base][0]) < n:
-        size = (n // (1 << 16) + 1) << 16
-        one = np.full(size, base, U)
-        one[0] = 1
-        back = np.full(size, pow(base, -1, 1 << 64), U)
-        back[0] = 1
-        kept[base] = np.cumprod(one, dtype=U), np.cumprod(back, dtype=U)
-    return kept[base]
+    if base in kept and len(kept[base][0]) >= n:
+        return kept[base]
+    size = (n // (1 << 16) + 1) << 16
+    one = np.full(size, base, U)
+    one[0] = 1
+    back = np.full(size, pow(base, -1, 1 << 64), U)
+    back[0] = 1
+    made = np.cumprod(one, dtype=U, out=one), np.cumprod(back, dtype=U, out=back)
+    if size <= KEPT_POWERS:
+        kept[base] = made
+    return made
 
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:

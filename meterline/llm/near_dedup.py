@@ -246,6 +246,19 @@ def _exact(shingle: int, percent: int):
         import zstandard
 
         press = zstandard.ZstdDecompressor()
+
+        def sets_of(packed) -> list:
+            """The sets of compressed texts, which are unpacked a slice at a time."""
+            out, texts, size = [], [], 0
+            for i, one in enumerate(packed):
+                texts.append(press.decompress(one.as_py()).decode())
+                size += len(texts[-1])
+                if size >= K.SLICE_BYTES or i + 1 == len(packed):
+                    tokens, first = _sets(K.Words(pa.array(texts, pa.large_string()), fold=True), shingle)
+                    out += [tokens[x:y].copy() for x, y in zip(first[:-1], first[1:])]
+                    texts, size = [], 0
+            return out
+
         for table, bounds in runs(batches, "grp"):
             rep, text = table.column("rep").to_numpy(), table.column("text")
             ends = [*bounds[1:], len(rep)]
@@ -256,12 +269,11 @@ def _exact(shingle: int, percent: int):
                     size += 3 * sum(len(x.as_buffer()) for x in text[bounds[to] : ends[to]])
                     to += 1
                 a, b = bounds[at], ends[to - 1]
-                words = K.Words(pa.array([press.decompress(x.as_py()).decode() for x in text[a:b]], pa.large_string()), fold=True)
-                tokens, first = _sets(words, shingle)
+                sets = sets_of(text[a:b])
                 least = np.empty(b - a, np.int64)
                 for x, y in zip(bounds[at:to], ends[at:to]):
                     order = np.arange(x, y)[np.argsort(rep[x:y])]
-                    label = _reach([tokens[first[i - a] : first[i - a + 1]] for i in order], percent)
+                    label = _reach([sets[i - a] for i in order], percent)
                     least[order - a] = rep[order][label]
                 yield pa.RecordBatch.from_arrays([table.column("grp").slice(a, b - a).combine_chunks(), pa.array(rep[a:b]), pa.array(least)], ["grp", "rep", "least"])
                 at = to

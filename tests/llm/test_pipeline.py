@@ -59,3 +59,18 @@ def test_contaminated_documents_go(spark, sf_dir, stages):
 def test_mixing_rates_all_that_is_left(stages):
     before, after = stages["mixing"]
     assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before} and all(r["rate"] >= 0 for r in after)
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_on_odd_documents(spark, sf_dir, tmp_path, some):
+    """Null and empty texts, repeated rows, a null id, a very long text, extra columns with inner names; and an empty table."""
+    rows = [(1, "a plain text of some words", "en", "s", 26), (1, "a plain text of some words", "en", "s", 26), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "a text without an id", "en", "s", 20), (4, "word " * 60_000, "en", "s", 300_000), (5, "A plain text of some words", "de", "t", 26)]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, rep long, grp string, score double, hits string, words string, p double, n long"
+    docs = spark.createDataFrame([(*r, 1, "x", 0.5, "h", "w", 0.1, 2) for r in (rows if some else [])], ddl)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in out)
+    assert ids == ([(False, 0), (True, 1), (True, 1), (True, 2), (True, 3), (True, 4)] if some else [])
+    assert all(r["rate"] >= 0 for r in out)

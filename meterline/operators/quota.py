@@ -158,3 +158,30 @@ def tightest(windows: DataFrame, account: Sequence[str], n: int, per_account: in
     over = Window.partitionBy(*account).orderBy("remaining_percent", "kind")
     few = windows.withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= per_account)
     return few.groupBy(*account).agg(F.min("remaining_percent").alias("least"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "kind"))), lambda x: x["kind"])).alias("kinds")).orderBy("least", *account).limit(n)
+
+
+# Providers whose secret is typed in, so that a device has one account of each.
+TYPED_IN = ("copilot", "deepseek", "minimax")
+
+
+def quota_identity(provider: Column, account_key: Column, email: Column, status: Column) -> Column:
+    """What tells a device's quota rows apart: the provider where its secret is typed in, else its account, e-mail or status; null without a provider."""
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    name = text(provider)
+    rest = F.coalesce(text(account_key), F.concat(F.lit("email:"), F.lower(text(email))), F.coalesce(F.trim(status), F.lit("")))
+    return F.when(name.isin(*TYPED_IN), name).otherwise(F.concat(name, F.lit(":"), rest))
+
+
+def merged_readings(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """A device's new quota rows, but the stored row where a typed-in provider is configured and another runtime says that it is not.
+
+    Rows: device, runtime, provider, account_key, email, status and others, the same in both tables; of stored rows with one identity the one with the
+    largest columns counts. Providers that no longer come are gone.
+    """
+    named = lambda df: df.withColumn("identity", quota_identity(F.col("provider"), F.col("account_key"), F.col("email"), F.col("status")))
+    rest = incoming.columns
+    old = named(stored.select(*rest)).filter("identity is not null").groupBy("device", "identity").agg(F.max(F.struct(*rest)).alias("old"))
+    met = named(incoming).join(old, ["device", "identity"], "left")
+    runtime = lambda c: F.nullif(F.trim(c), F.lit(""))
+    keep = F.col("provider").isin(*TYPED_IN) & (F.col("status") == "notConfigured") & is_configured(F.col("old.account_key"), F.col("old.status")) & (runtime(F.col("old.runtime")) != runtime(F.col("runtime")))
+    return met.select(*[F.when(F.coalesce(keep, F.lit(False)), F.col(f"old.{c}")).otherwise(F.col(c)).alias(c) for c in rest])

@@ -196,3 +196,29 @@ def normalized_days(spark, d):
     date = F.when(F.col("k") % 10 == 7, "2024-02-30").otherwise(F.concat(F.col("day").cast("string"), F.lit("T00:00")))
     rows = fact.select(date.alias("date"), F.upper("client").alias("client"), F.concat(F.lit(" "), "model").alias("model"), F.col("total").cast("string").alias("tokens"), (F.col("k") % 3).alias("messages"), F.lit("x").alias("cost_usd"), (F.col("k") % 2).alias("active_ms"))
     return D.normalized_days(rows).select("date", "active_ms", "observations", "tokens", "messages")
+
+
+@query(
+    """WITH i AS (SELECT c_custkey AS device, ['copilot', 'deepseek', 'claude'][c_custkey % 3 + 1] AS provider, CASE WHEN c_custkey % 2 = 0 THEN 'notConfigured' ELSE 'ok' END AS status, c_custkey % 5 AS app FROM customer),
+o AS (SELECT c_custkey AS device, CASE WHEN c_custkey % 7 > 0 THEN 'key' END AS account_key, CASE WHEN c_custkey % 11 = 0 THEN 'disabled' ELSE 'ok' END AS status, c_custkey % 4 AS app FROM customer),
+k AS (SELECT i.*, o.account_key, o.status AS old_status, provider <> 'claude' AND i.status = 'notConfigured' AND o.account_key IS NOT NULL AND o.status = 'ok' AND i.app <> o.app AND o.app > 0 AS keep FROM i JOIN o ON i.device = o.device)
+SELECT device, provider, CASE WHEN keep THEN account_key END AS account_key, CASE WHEN keep THEN old_status ELSE status END AS status FROM k"""
+)
+def quota_merge_by_identity(spark, d):
+    key = F.col("c_custkey")
+    provider = F.get(F.array(F.lit("copilot"), F.lit("deepseek"), F.lit("claude")), (key % 3).cast("int"))
+    customers = table(spark, d, "customer")
+    row = lambda runtime, account, status: customers.select(key.alias("device"), runtime.alias("runtime"), provider.alias("provider"), account.alias("account_key"), F.lit("A@b.co").alias("email"), status.alias("status"))
+    stored = row(F.when(key % 4 > 0, F.concat(F.lit("app "), (key % 4).cast("string"))), F.when(key % 7 > 0, F.lit("key")), F.when(key % 11 == 0, "disabled").otherwise("ok"))
+    incoming = row(F.concat(F.lit("app "), (key % 5).cast("string")), F.lit(None).cast("string"), F.when(key % 2 == 0, "notConfigured").otherwise("ok"))
+    return Q.merged_readings(stored, incoming).select("device", "provider", "account_key", "status")
+
+
+@query(
+    f"SELECT date, p50, peak FROM (SELECT day AS date, CAST(sum(total) AS BIGINT) AS p50, CAST(max(sum(total)) OVER () AS BIGINT) AS peak FROM fact WHERE day BETWEEN DATE '{TODAY}' - 13 AND DATE '{TODAY}' GROUP BY day)".replace("p50", "value"), fact=True
+)
+def sparkline(spark, d):
+    """The last fourteen days' values and the largest of them (M2)."""
+    rows = usage_fact(spark, d).filter(F.col("day").between(F.date_sub(F.lit(TODAY).cast("date"), 13), F.lit(TODAY).cast("date")))
+    days = rows.groupBy(F.col("day").alias("date")).agg(F.sum("total").cast("long").alias("value"))
+    return days.withColumn("peak", F.max("value").over(Window.partitionBy()))  # fourteen rows

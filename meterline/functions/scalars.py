@@ -39,7 +39,7 @@ def percent(x: Column) -> Column:
 def lenient_number(value: Column) -> Column:
     """A number from text with $ and , taken out; 0 for anything else."""
     number = F.regexp_replace(F.trim(value.cast("string")), "[$,]", "").try_cast("double")
-    return F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), F.lit(0.0)).otherwise(number)
+    return F.coalesce(F.when(F.abs(number) < float("inf"), number), F.lit(0.0))
 
 
 def quota_number(value: Column) -> Column:
@@ -126,21 +126,42 @@ def nfc_key(label: Column) -> Column:
     return F.when(label.rlike(r"^[\x00-\x7F]*$"), project_key(label)).otherwise(F.nullif(nfc(label), F.lit("")))
 
 
-def nfkc(value: Column) -> Column:
-    """Compatibility normal form, for account labels."""
+def _form(value: Column, form: str) -> Column:
+    """A Unicode normal form; it needs a pandas function, so ASCII text doesn't pass through it."""
     @F.pandas_udf("string")
     def apply(values: pd.Series) -> pd.Series:
         import unicodedata
 
-        return values.map(lambda x: unicodedata.normalize("NFKC", x) if x is not None else None)
+        return values.map(lambda x: unicodedata.normalize(form, x) if x is not None else None)
 
     return F.when(value.rlike(r"^[\x00-\x7F]*$"), value).otherwise(apply(value))
 
 
-def account_label(value: Column, most: int = 64) -> Column:
-    """A label without addresses, links and control characters, at most `most` code points; '' if none."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(nfkc(value), r"[^\p{L}\p{N} ._+()/-]", ""), r"\s+", " "))
-    return F.when(value.isNull() | value.rlike(r"\S@\S|://|www\."), "").otherwise(F.substring(clean, 1, most))
+# How long account labels and names may be, as they come and when they are clean.
+LABEL_MOST, NAME_MOST = (256, 32), (512, 64)
+
+
+def _account_text(value: Column, marks: str, most: tuple[int, int]) -> Column:
+    raw = F.trim(F.coalesce(value, F.lit("")))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(_form(raw, "NFC"), rf"[^\p{{L}}\p{{M}}\p{{N}} {marks}]", ""), r"\s+", " "))
+    told = _form(raw, "NFKC").rlike("(?i)@|https?://")
+    return F.when((F.length(raw) > most[0]) | told | (F.length(clean) > most[1]), "").otherwise(clean)
+
+
+def account_label(value: Column) -> Column:
+    """A label of an account or plan without odd characters; '' if it holds an address or a link, or is too long."""
+    return _account_text(value, "+._-", LABEL_MOST)
+
+
+def account_name(value: Column) -> Column:
+    """A person's or login's name by the same rules."""
+    return _account_text(value, "._-", NAME_MOST)
+
+
+def account_email(value: Column) -> Column:
+    """A plain e-mail address in lower case, or '' (C12)."""
+    low = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when((F.length(low) <= 254) & low.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), low).otherwise("")
 
 
 def masked_email(value: Column) -> Column:

@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import at_least, percent as clamp, quota_number
+from ..functions.scalars import percent as clamp, quota_number
 
-# Spellings of window kinds, and the ranks of a reading's status.
-KINDS = {"session": ("session", "five_hour", "5h", "rolling", "primary"), "weekly": ("weekly", "week", "seven_day", "7d", "secondary"), "billing": ("billing", "monthly", "month", "credits", "spend")}
+# Spellings of window kinds without spaces, dashes and underscores, and the ranks of a reading's status.
+KINDS = {"session": ("session",), "weekly": ("weekly",), "billing": ("billing", "billingcycle", "monthly")}
 STATUS_RANK = {"ok": 3, "rateLimited": 2, "sourceRateLimited": 1, "unauthorized": 1, "unavailable": 1, "error": 1}
 RELEASE, RESET_SLACK_S, URGENCY_PARTS, FLOOR_S = 0.3, 30, 4, 60
 
 
 def window_kind(value: Column) -> Column:
-    low = F.lower(F.trim(value))
+    """The kind of a window by its spelling, or null."""
+    low = F.regexp_replace(F.lower(F.trim(value)), r"[_\s-]+", "")
     out = F.lit(None).cast("string")
     for kind, names in KINDS.items():
         out = F.when(low.isin(*names), kind).otherwise(out)
@@ -24,10 +25,10 @@ def window_kind(value: Column) -> Column:
 
 
 def window_numbers(used: Column, limit: Column, remaining: Column, percent: Column) -> dict[str, Column]:
-    """used, limit and remaining as numbers; used percent from itself or used / limit, 0 to 100; remaining percent to three places."""
+    """used, limit and remaining as numbers, as they are given; used percent from itself or used / limit, 0 to 100; remaining percent to three places."""
     u, m, r, p = (quota_number(x) for x in (used, limit, remaining, percent))
     share = clamp(F.coalesce(p, F.when((m > 0) & u.isNotNull(), u / m * 100)))
-    return {"used": u, "limit": m, "remaining": F.coalesce(r, at_least(m - u)), "used_percent": share, "remaining_percent": F.round(100 - share, 3)}
+    return {"used": u, "limit": m, "remaining": r, "used_percent": share, "remaining_percent": F.round(100 - share, 3)}
 
 
 def sorted_expiries(values: Column) -> Column:

@@ -209,13 +209,13 @@ def widget_snapshot(spark, d):
     return part(overview, "overview", "n").unionByName(part(models, "models", "model")).unionByName(part(trend, "trend", "day"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'session' WHEN 1 THEN 'weekly' END AS kind, CAST(s_suppkey % 50 AS DOUBLE) AS used, 40.0::DOUBLE AS \"limit\", greatest(0.0, 40.0 - s_suppkey % 50)::DOUBLE AS remaining, least(100.0, (s_suppkey % 50) / 40.0 * 100)::DOUBLE AS used_percent FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'session' WHEN 1 THEN 'weekly' WHEN 2 THEN 'billing' WHEN 3 THEN 'billing' END AS kind, CAST(s_suppkey % 50 AS DOUBLE) AS used, 40.0::DOUBLE AS \"limit\", CASE WHEN s_suppkey % 2 = 0 THEN 7.5::DOUBLE END AS remaining, least(100.0, (s_suppkey % 50) / 40.0 * 100)::DOUBLE AS used_percent FROM supplier")
 def quota_window_normalize(spark, d):
     from ..operators.quota import window_kind, window_numbers
 
     key = F.col("s_suppkey")
-    numbers = window_numbers((key % 50).cast("string"), F.lit("$40"), F.lit(None), F.lit(None))
-    kind = window_kind(F.when(key % 3 == 0, " Five_Hour").when(key % 3 == 1, "7D").otherwise("other"))
+    numbers = window_numbers((key % 50).cast("string"), F.lit("$40"), F.when(key % 2 == 0, "7.5"), F.lit(None))
+    kind = window_kind(F.when(key % 5 == 0, " Session").when(key % 5 == 1, "week-ly").when(key % 5 == 2, "Billing_Cycle").when(key % 5 == 3, "monthly").otherwise("five_hour"))
     return table(spark, d, "supplier").select("s_suppkey", kind.alias("kind"), *[numbers[c].alias(c) for c in ("used", "limit", "remaining", "used_percent")])
 
 

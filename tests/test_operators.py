@@ -8,7 +8,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.operators import devices, export, history, identity, money, quota, rollup, transcripts
+from meterline.operators import devices, export, history, identity, money, quota, records, rollup, transcripts
 from meterline.sources import files, quota_adapters
 from meterline.streaming import streams
 
@@ -222,7 +222,7 @@ def test_quota_adapters(spark, provider):
 def test_window_numbers(spark):
     df = spark.createDataFrame([("5", "20", None, None), ("30", "20", None, None), (None, None, "3", None), (None, None, None, "45%")], "u string, m string, r string, p string")
     n = quota.window_numbers(*[F.col(c) for c in "umrp"])
-    assert [tuple(r) for r in df.select(n["used_percent"], n["remaining"], n["remaining_percent"]).collect()] == [(25.0, 15.0, 75.0), (100.0, 0.0, 0.0), (None, 3.0, None), (45.0, None, 55.0)]
+    assert [tuple(r) for r in df.select(n["used_percent"], n["remaining"], n["remaining_percent"]).collect()] == [(25.0, None, 75.0), (100.0, None, 0.0), (None, 3.0, None), (45.0, None, 55.0)]
 
 
 def test_event_logs_replay_until_damage(spark):
@@ -243,3 +243,14 @@ def test_prefixes_of_all_customers(spark, sf_dir):
     prints = [(label, hashlib.md5(str(key).encode()).hexdigest()) for label, key in customers]
     least = lambda label, x: next(x[:n] for n in range(2, 33) if sum(m == label and y[:n] == x[:n] for m, y in prints) == 1)
     assert len(prints) > 59 and rows(catalog.QUERIES["shortest_unique_prefix"](spark, sf_dir)) == sorted((m, x, least(m, x)) for m, x in prints)
+
+
+def test_records_that_are_no_objects_give_no_rows(spark):
+    df = spark.createDataFrame([(1, "f", None), (2, "f", ""), (3, "f", "[1]"), (4, "f", "{"), (5, None, '{"client":"codex"}'), (6, "f", '{"client":" ","tool":"Codex","models":{"A":2,"a":"x"," ":3},"tokens":null,"input":"1,0"}')], "id long, fallback string, value string")
+    assert rows(records.normalized_sessions(df).select("id", "client", "session", "total", "models")) == [(6, "codex", "f", 10, {"a": 2})]
+    assert rows(records.normalized_readings(df).select("id")) == []
+    empty = df.limit(0)
+    assert all(rows(f(empty)) == [] for f in (records.normalized_sessions, records.normalized_readings, lambda x: records.normalized_health(x, [])))
+    whole = spark.createDataFrame([(1, "{}"), (2, None), (3, '{"source":{"checkedCount":"NaN"},"collection":7}')], "id long, value string")
+    assert rows(records.normalized_health(whole, []).select("id", "source", "overall")) == [(1, "unknown", "unknown"), (3, "unknown", "unknown")]
+    assert rows(records.normalized_devices(whole, F.lit("2024-01-30").cast("timestamp")).select("id", "device", "history", "upload_ms")) == [(1, "unknown", None, None), (3, "unknown", None, None)]

@@ -29,7 +29,10 @@ def test_clients_and_models(spark):
 
 def test_keys_need_nfc_only_beyond_ascii(spark):
     assert column(spark, [" My App ", "Cafe\u0301", "CAFÉ", "", None], S.nfc_key) == ["my app", "café", "café", None, None]
-    assert column(spark, ["a@b.co", "Team ＡＢ!", None, "x" * 90], lambda x: S.account_label(x)) == ["", "Team AB", "", "x" * 64]
+    labels = ["a@b.co", "a＠b", "see HTTPS://x", "Team ＡＢ!", "Cafe\u0301 +1", None, "x" * 32, "x" * 33]
+    assert column(spark, labels, S.account_label) == ["", "", "", "Team ＡＢ", "Café +1", "", "x" * 32, ""]
+    assert column(spark, ["Ann +1", "x" * 64, "x" * 65], S.account_name) == ["Ann 1", "x" * 64, ""]
+    assert column(spark, [" A@B.co", "a@b", "a b@c.de", None], S.account_email) == ["a@b.co", "", "", ""]
 
 
 def _signed(text):

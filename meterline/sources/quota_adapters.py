@@ -136,7 +136,7 @@ def mimo(b: Column) -> Column:
     item = F.get(F.filter(usage["items"], lambda x: F.lower(x["name"]) == "month_total_token"), F.lit(0))
     some = F.coalesce(F.size(usage["items"]) > 0, F.lit(False))
     pick = lambda c: F.when(some, item[c]).otherwise(usage[c])
-    plan = window("billing", "Token plan", used=pick("used"), limit=pick("limit"), percent=F.coalesce(pick("percent"), pick("used") / pick("limit") * 100), when=pick("limit") > 0)
+    plan = window("billing", "Token plan", used=pick("used"), limit=pick("limit"), remaining=at_least(pick("limit") - pick("used")), percent=F.coalesce(pick("percent"), pick("used") / pick("limit") * 100), when=pick("limit") > 0)
     balance = number(b, "balance", "data.balance")
     return windows(plan, window("billing", "Balance", remaining=balance, metric="credits", show=False, when=balance.isNotNull()))
 
@@ -171,10 +171,8 @@ def copilot(b: Column) -> Column:
 
 def kiro(b: Column) -> Column:
     pair = lambda name, i: quota_number(F.nullif(F.regexp_extract(b, rf"(?i){name}[^\d]*([\d.]+)\s*(?:/|of)\s*([\d.]+)", i), F.lit("")))
-    days = F.nullif(F.regexp_extract(b, r"(?i)expires? in (\d+) days?", 1), F.lit(""))
     over = quota_number(F.nullif(F.regexp_extract(b, r"(?i)overages?[^\d]*([\d.]+)", 1), F.lit("")))
-    bonus = F.concat(F.lit("Bonus"), F.coalesce(F.concat(F.lit(" ("), days, F.lit("d)")), F.lit("")))
-    return windows(window("billing", "Credits", used=pair(r"(?<!bonus )credits", 1), limit=pair(r"(?<!bonus )credits", 2), when=pair(r"(?<!bonus )credits", 2) > 0), window("billing", bonus, used=pair("bonus credits", 1), limit=pair("bonus credits", 2), when=pair("bonus credits", 2) > 0), window("billing", "Overage", used=over, show=False, when=over.isNotNull()))
+    return windows(window("billing", "Credits", used=pair(r"(?<!bonus )credits", 1), limit=pair(r"(?<!bonus )credits", 2), when=pair(r"(?<!bonus )credits", 2) > 0), window("billing", "Bonus", used=pair("bonus credits", 1), limit=pair("bonus credits", 2), when=pair("bonus credits", 2) > 0), window("billing", "Overage", used=over, show=False, when=over.isNotNull()))
 
 
 def zai(b: Column) -> Column:
@@ -203,19 +201,22 @@ def commandcode(b: Column) -> Column:
     def part(kind: str, name: str, minutes: int) -> Column:
         p = [f"credits.windowLimits.{name}", f"windowLimits.{name}"]
         limit, used = number(b, *[f"{x}.{y}" for x in p for y in ("cap", "limit")]), F.coalesce(number(b, *[f"{x}.used" for x in p]), F.lit(0.0))
-        return window(kind, used=at_least(used), limit=limit, resets=iso(at(b, *[f"{x}.resetAt" for x in p])), minutes=minutes, when=limit > 0)
+        return window(kind, used=at_least(used), limit=limit, remaining=at_least(limit - at_least(used)), resets=iso(at(b, *[f"{x}.resetAt" for x in p])), minutes=minutes, when=limit > 0)
 
     grant, bought = number(b, "credits.monthlyCredits"), F.greatest(F.lit(0.0), F.coalesce(number(b, "credits.purchasedCredits"), F.lit(0.0)))
     return windows(part("session", "fiveHour", 300), part("weekly", "weekly", 10080), window("billing", "Monthly", remaining=grant, metric="credits", show=False, when=grant.isNotNull()), window("billing", "Top-up", remaining=bought, metric="credits", show=False, when=bought > 0))
 
 
 def qoder(b: Column) -> Column:
-    def total(field: str) -> Column:
-        part = lambda name: number(b, *[f"{x}{name}.quotaSummary.{field}" for x in ("data.", "")])
-        return part("totalQuota") + F.coalesce(part("sharedQuota"), F.lit(0.0))
-
-    used, limit = total("usedValue"), total("limitValue")
-    return windows(window("billing", "Credits", used=used, limit=limit, percent=F.when(limit > 0, used / limit * 100).otherwise(100.0), resets=iso(at(b, "data.nextResetAt", "nextResetAt")), when=used.isNotNull() & limit.isNotNull()))
+    def part(name: str) -> dict[str, Column]:
+        used, limit, left = (number(b, *[f"{x}{name}.quotaSummary.{field}" for x in ("data.", "")]) for field in ("usedValue", "limitValue", "remainingValue"))
+        return {"used": used, "limit": limit, "remaining": at_least(F.coalesce(left, limit - used))}
+
+    own, shared = part("totalQuota"), part("sharedQuota")
+    both = F.coalesce((shared["used"] >= 0) & (shared["limit"] >= 0), F.lit(False))
+    used, limit, left = (own[c] + F.when(both, shared[c]).otherwise(0.0) for c in ("used", "limit", "remaining"))
+    percent = F.when(limit > 0, used / limit * 100).otherwise(100.0)
+    return windows(window("billing", "Credits", used=used, limit=limit, remaining=left, percent=percent, resets=iso(at(b, "data.nextResetAt", "nextResetAt")), when=(own["used"] >= 0) & (own["limit"] >= 0)))
 
 
 def ollama(b: Column) -> Column:

@@ -199,7 +199,7 @@ QUOTAS = {
     "mimo": ({"data": {"monthUsage": {"items": [{"name": "month_total_token", "used": 20, "limit": 80}]}}}, [("billing", "Token plan", 25.0)]),
     "grok": ({"config": {"creditUsagePercent": 33, "currentPeriod": {"start": "2026-01-01T00:00:00Z", "end": "2026-01-08T00:00:00Z"}}}, [("billing", "Weekly", 33.0)]),
     "copilot": ({"premium": {"percentRemaining": 60}, "chat": {"percentRemaining": 100}}, [("billing", "Premium", 40.0), ("billing", "Chat", 0.0)]),
-    "kiro": ("Credits: 25 / 100\nBonus credits 10 of 40, expires in 5 days\nOverages: 3", [("billing", "Credits", 25.0), ("billing", "Bonus (5d)", 25.0), ("billing", "Overage", None)]),
+    "kiro": ("Credits: 25 / 100\nBonus credits 10 of 40, expires in 5 days\nOverages: 3", [("billing", "Credits", 25.0), ("billing", "Bonus", 25.0), ("billing", "Overage", None)]),
     "zai": ({"data": {"limits": [{"type": "TOKENS_LIMIT", "unit": 6, "number": 1, "percentage": 20}, {"type": "TOKENS_LIMIT", "unit": 3, "number": 5, "percentage": 10}, {"type": "TIME_LIMIT", "unit": 5, "number": 1, "percentage": 30, "remaining": 70}]}}, [("session", "5-hour", 10.0), ("weekly", "Weekly", 20.0), ("billing", "MCP", 30.0)]),
     "volcengine": ({"Result": {"Quotas": [{"Level": "5h", "Percent": 1.5}, {"Level": "month", "Percent": 2.5}, {"Level": "other", "Percent": 3}]}}, [("session", "5-hour", 1.5), ("billing", "Monthly", 2.5)]),
     "commandcode": ({"credits": {"monthlyCredits": 5, "purchasedCredits": 0, "windowLimits": {"fiveHour": {"used": 2, "cap": 8}}}}, [("session", None, 25.0), ("billing", "Monthly", None)]),

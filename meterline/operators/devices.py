@@ -133,3 +133,24 @@ def normalized_days(observations: DataFrame) -> DataFrame:
     active = rows.groupBy("date").agg(F.max("active_ms").alias("active_ms"))
     out = active.join(days, "date", "left").filter("observations is not null or active_ms > 0")
     return out.select("date", "active_ms", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("observations", "tokens", "messages", "cost_usd")])
+
+
+# Seconds after which a full scan is due.
+FULL_SCAN_S = 60 * 60
+
+
+def scan_plan(ticks: DataFrame, keys: Sequence[str], full_s: int = FULL_SCAN_S) -> DataFrame:
+    """What each tick of an interval does: 'full' first and when the last full scan is full_s old, 'anchored' if something changed since the tick before, else 'skip' (K4).
+
+    Ticks: the keys, at (seconds), and changed. A key's ticks are folded in order; they are bounded by the time that a key covers, so days belong into it.
+    """
+    fold = F.array_sort(F.collect_list(F.struct("at", "changed")))
+    start = F.struct(F.lit(None).cast("long").alias("full_at"), F.array().cast("array<struct<at:long,scan:string>>").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        full = s["full_at"].isNull() | (t["at"] - s["full_at"] >= full_s)
+        scan = F.when(full, "full").when(F.coalesce(t["changed"], F.lit(False)), "anchored").otherwise("skip")
+        return F.struct(F.when(full, t["at"]).otherwise(s["full_at"]).alias("full_at"), F.concat(s["out"], F.array(F.struct(t["at"].alias("at"), scan.alias("scan")))).alias("out"))
+
+    rows = ticks.withColumn("at", F.col("at").cast("long")).groupBy(*keys).agg(F.aggregate(fold, start, step)["out"].alias("o"))
+    return rows.select(*keys, F.inline("o"))

@@ -21,7 +21,7 @@ ANSWERS = {
     ),
     "claude_text": ("Current session\n {x}% left\nCurrent week (all models) {y}.5% left", [("session", None, f"100 - {_X}", _NONE, "true"), ("weekly", None, f"99.5::DOUBLE - {_Y}", _NONE, "true")]),
     "codex": ('{"rate_limits":{"primary":{"used_percent":{x},"window_duration_mins":300},"secondary":{"usedPercent":{y},"windowDurationMins":43200}}}', [("session", None, _X, _NONE, "true"), ("billing", "Monthly", _Y, _NONE, "true")]),
-    "cursor": ('{"requests":{"used":{x},"limit":80},"plan":{"autoPercentUsed":{y}}}', [("billing", "Total", _PART, _NONE, "true"), ("billing", "Auto", _Y, _NONE, "true")]),
+    "cursor": ('{"requests":{"used":{x},"limit":80},"plan":{"autoPercentUsed":{y}}}', [("billing", "Total", _PART, _LEFT, "true"), ("billing", "Auto", _Y, _NONE, "true")]),
     "antigravity": (
         '{"response":{"groups":[{"displayName":"Gemini","buckets":[{"window":"5h","remainingFraction":0.{y}},{"window":"WEEKLY","remainingFraction":0.5,"disabled":true},{"window":"odd"}]}]}}',
         [("session", "Gemini 5-hour", "100 - CAST('0.' || y AS DOUBLE) * 100", _NONE, "true"), ("weekly", "Gemini weekly", _NONE, _NONE, "true")],

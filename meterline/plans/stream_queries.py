@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.views import usage_fact
+from ..operators import devices as D
+from ..sources.views import CLIENTS, usage_fact
 from ..streaming import streams as K
 from .usage_queries import query
 
@@ -44,3 +45,28 @@ def stream_burn_state(spark, d):
 @query("SELECT day, client, CAST(sum(total) AS BIGINT) AS total FROM fact GROUP BY ALL", fact=True)
 def batch_daily_by_client(spark, d):
     return usage_fact(spark, d).groupBy("day", "client").agg(F.sum("total").cast("long").alias("total"))
+
+
+@query(
+    """, g AS (SELECT device, client, k, ts, event_id, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 MINUTE THEN 1 ELSE 0 END AS s FROM fact WINDOW w AS (PARTITION BY device ORDER BY ts, event_id)), n AS (SELECT *, sum(s) OVER (PARTITION BY device ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS id FROM g)
+SELECT device, strftime(max(ts) + INTERVAL 2 MINUTE, '%Y-%m-%d %H:%M:%S') AS due, CASE WHEN count(*) FILTER (WHERE k % 10 = 0) = 0 THEN string_agg(DISTINCT client, ',' ORDER BY client) END AS scope, count(*) AS changes FROM n GROUP BY device, id""", fact=True
+)
+def stream_scans(spark, d):
+    """Changes of devices' tools as scans after two quiet minutes; a change in ten names no tool."""
+    events = K.event_stream(spark, d)
+    k = F.get_json_object("props", "$.k").cast("long")
+    names = F.create_map(*[F.lit(x) for pair in CLIENTS.items() for x in pair])
+    changes = events.select("ts", F.concat(F.lit("dev-"), (F.col("user_id") % 4).cast("string")).alias("device"), F.when(k % 10 != 0, names[F.col("event_type")]).alias("client"))
+    found = K.run_to_end(K.scans(changes, ["device"], "2 minutes"), "complete")
+    return found.select("device", F.date_format("due", "yyyy-MM-dd HH:mm:ss").alias("due"), F.when(F.col("scope").isNotNull(), F.concat_ws(",", "scope")).alias("scope"), "changes")
+
+
+@query(
+    """, t AS (SELECT device, day, CAST(floor(epoch(ts)) AS BIGINT) AS "at", bool_or(k % 3 = 0) AS changed FROM fact GROUP BY ALL),
+x AS (SELECT *, min("at") OVER (PARTITION BY device, day ORDER BY "at" RANGE BETWEEN 3600 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM t),
+f AS (WITH RECURSIVE c AS (SELECT device, day, min("at") AS "at" FROM t GROUP BY ALL UNION ALL SELECT x.device, x.day, x.nxt FROM c JOIN x ON c.device = x.device AND c.day = x.day AND c."at" = x."at" WHERE x.nxt IS NOT NULL) SELECT * FROM c)
+SELECT t.device, t.day, t."at" AS "at", CASE WHEN f."at" IS NOT NULL THEN 'full' WHEN changed THEN 'anchored' ELSE 'skip' END AS scan FROM t LEFT JOIN f ON t.device = f.device AND t.day = f.day AND t."at" = f."at" ORDER BY 1, 2, 3""", fact=True
+)
+def scan_plan(spark, d):
+    ticks = usage_fact(spark, d).groupBy("device", "day", F.unix_timestamp("ts").alias("at")).agg(F.bool_or(F.col("k") % 3 == 0).alias("changed"))
+    return D.scan_plan(ticks, ["device", "day"])

@@ -212,3 +212,77 @@ def decoded_requests(rows: DataFrame, codes: DataFrame) -> DataFrame:
     from ..operators.devices import latest
 
     return latest(named, ["message_id"], [F.col("source"), F.col("row_id")])
+
+
+# Where tools keep transcripts under a home, in the order in which they are searched, and the endings of a native session's files.
+TRANSCRIPT_ROOTS = {"claude": [".claude/projects", ".claude/transcripts"], "codex": [".codex/sessions"]}
+META, TELEMETRY, EVENTS = ".jsonl.meta", ".jsonl.telemetry.json", ".events.jsonl"
+
+
+def _listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """The paths of files below a folder, unread; none if there is no such folder."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string")
+
+
+def session_files(spark: SparkSession, home: str, wanted: DataFrame) -> DataFrame:
+    """The transcript of each wanted session (client, session), null if there is none.
+
+    A session that names its day is looked for in that day's folder first; else the first root that has a file of its name counts, and there the first path.
+    """
+    found = None
+    for client, roots in TRANSCRIPT_ROOTS.items():
+        for rank, root in enumerate(roots):
+            one = _listed(spark, f"{home}/{root}", "*.jsonl").select(F.lit(client).alias("client"), F.lit(rank + 1).alias("rank"), "path", F.lit(root).alias("root"))
+            found = one if found is None else found.unionByName(one)
+    stem = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
+    day = F.regexp_extract(stem, r"^rollout-(\d{4}-\d{2}-\d{2})T", 1)
+    own = (F.col("client") == "codex") & (day != "") & F.col("path").endswith(F.concat(F.lit("/"), F.col("root"), F.lit("/"), F.replace(day, F.lit("-"), F.lit("/")), F.lit("/"), stem, F.lit(".jsonl")))
+    first = found.withColumns({"session": stem, "rank": F.when(own, 0).otherwise(F.col("rank"))}).groupBy("client", "session").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+    return wanted.join(first, ["client", "session"], "left")
+
+
+def native_sessions(metas: DataFrame, telemetry: DataFrame, logs: DataFrame) -> DataFrame:
+    """Sessions from the files beside a native transcript, joined on folder and stem (A16); the entries that native_view takes.
+
+    `metas` and `telemetry` have folder, stem and value (JSON); `logs` has folder, stem, messages (null if the log can't be replayed) and last_message_at. A session has an
+    id, and usage or a log; one whose log can't be replayed is dropped. Tokens are null without usage. Counts of the meta file are trusted from its first schema version on.
+    """
+    v, u = F.col("meta"), F.col("usage")
+    text = lambda c, *names: S.first_text(*[F.get_json_object(c, f"$.{n}") for n in names])
+    number = lambda c, *names: F.coalesce(*[F.get_json_object(c, f"$.{n}").try_cast("double") for n in names])
+    ids = ["id", "ID", *[f"{b}.{i}" for b in ("BranchMeta", "branchMeta", "branch_meta", "branch") for i in ("id", "ID")]]
+    key = ["folder", "stem"]
+    rows = metas.select(*key, F.col("value").alias("meta")).join(telemetry.select(*key, F.col("value").alias("usage")), key, "left").join(logs.select(*key, "messages", "last_message_at", F.lit(True).alias("logged")), key, "left")
+    total = number(u, "totalTokens", "total_tokens")
+    root = text(v, "workspace_root", "workspaceRoot")
+    scope = F.when(F.lower(text(v, "scope")) == "project", "project").otherwise("global")
+    inside = (scope == "project") & F.replace(root, F.lit("\\"), F.lit("/")).rlike("^(/|[A-Za-z]:/)")
+    time = lambda name, camel: F.try_to_timestamp(F.nullif(text(v, name, camel), F.lit("")))
+    trusted = F.coalesce(number(v, "schema_version", "schemaVersion") >= 1, F.lit(False))
+    made, changed = time("created_at", "createdAt"), time("updated_at", "updatedAt")
+    fields = {
+        "session": F.concat(F.lit("reasonix:"), F.nullif(text(v, *ids), F.lit(""))), "scope": scope, "model": S.model_id(text(v, "model"), F.lit("reasonix")), "project_label": F.when(inside, F.element_at(F.split(S.project_path(root), "/"), -1)),
+        "project_id": F.when(inside, S.project_identity(root)), "created_at": made, "started_at": made, "last_used_at": changed, "last_message_at": F.col("last_message_at"), "messages": F.col("messages"),
+        "turns": F.when(trusted, number(v, "turns").cast("long")), "preview": F.when(trusted, F.nullif(text(v, "preview"), F.lit(""))), "total": F.when(total.isNotNull(), S.whole(total)),
+        **{n: F.when(total.isNotNull(), S.whole(F.coalesce(number(u, camel, snake), F.lit(0.0)))) for n, camel, snake in (("prompt", "promptTokens", "prompt_tokens"), ("completion", "completionTokens", "completion_tokens"), ("reasoning", "reasoningTokens", "reasoning_tokens"), ("cache_read", "cacheHitTokens", "cache_hit_tokens"), ("cache_write", "cacheWriteTokens", "cache_write_tokens"))},
+        "parent": F.nullif(text(v, "parent_id", "parentId"), F.lit("")), "seq": F.concat_ws("/", *key),
+    }
+    kept = F.when(F.coalesce("logged", F.lit(False)), F.col("messages").isNotNull()).otherwise(total.isNotNull())
+    return rows.filter(kept).select(*[c.alias(n) for n, c in fields.items()]).filter("session is not null")
+
+
+def sidecars(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The files beside native transcripts below a folder by their ending: folder, stem and the whole text of each (A16). A file is at most what one session writes."""
+    out = {}
+    for ending in (META, TELEMETRY, EVENTS):
+        read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{ending}").text(folder, wholetext=True)
+        path = F.col("_metadata.file_path")
+        out[ending] = read.select(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract(path, "([^/]*)" + ending.replace(".", r"\.") + "$", 1).alias("stem"), "value")
+    return out

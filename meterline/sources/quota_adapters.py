@@ -83,7 +83,7 @@ def cursor(b: Column) -> Column:
     plan, auto = number(b, "plan.totalPercentUsed"), number(b, "plan.autoPercentUsed")
     resets = iso(at(b, "billingCycleEnd", "plan.billingCycleEnd"))
     total = F.when(limit > 0, used / limit * 100).otherwise(plan)
-    return windows(window("billing", "Total", percent=total, used=used, limit=limit, resets=resets, when=total.isNotNull()), window("billing", "Auto", percent=auto, resets=resets, when=auto.isNotNull()))
+    return windows(window("billing", "Total", percent=total, used=used, limit=limit, remaining=F.when(limit > 0, at_least(limit - used)), resets=resets, when=total.isNotNull()), window("billing", "Auto", percent=auto, resets=resets, when=auto.isNotNull()))
 
 
 def antigravity(b: Column) -> Column:

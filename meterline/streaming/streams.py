@@ -29,6 +29,12 @@ def session_windows(events: DataFrame, gap: str = "5 hours", late: str = "1 hour
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
+def scans(changes: DataFrame, keys: list[str], quiet: str = "1500 milliseconds", late: str = "1 hour") -> DataFrame:
+    """One scan a key after each quiet time (K2), of all tools that changed before it, or of everything where a change names no tool (K3). Changes: the keys, ts and client."""
+    found = changes.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("w"), *keys).agg(F.array_sort(F.collect_set("client")).alias("clients"), F.bool_or(F.col("client").isNull()).alias("everything"), F.count(F.lit(1)).alias("changes"))
+    return found.select(*keys, F.col("w.end").alias("due"), F.when(~F.col("everything"), F.col("clients")).alias("scope"), "changes")
+
+
 def without_repeats(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """Each key once within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)

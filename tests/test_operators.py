@@ -254,3 +254,28 @@ def test_records_that_are_no_objects_give_no_rows(spark):
     whole = spark.createDataFrame([(1, "{}"), (2, None), (3, '{"source":{"checkedCount":"NaN"},"collection":7}')], "id long, value string")
     assert rows(records.normalized_health(whole, []).select("id", "source", "overall")) == [(1, "unknown", "unknown"), (3, "unknown", "unknown")]
     assert rows(records.normalized_devices(whole, F.lit("2024-01-30").cast("timestamp")).select("id", "device", "history", "upload_ms")) == [(1, "unknown", None, None), (3, "unknown", None, None)]
+
+
+def test_session_files(spark, tmp_path):
+    for name in (".claude/projects/p/a.jsonl", ".claude/transcripts/a.jsonl", ".claude/transcripts/b.jsonl", ".codex/sessions/2026/01/02/rollout-2026-01-02T1-x.jsonl", ".codex/sessions/2025/01/02/rollout-2026-01-02T1-x.jsonl", ".codex/sessions/z/c.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    wanted = spark.createDataFrame([("claude", "a"), ("claude", "b"), ("codex", "rollout-2026-01-02T1-x"), ("codex", "c"), ("codex", "a"), (None, None)], "client string, session string")
+    got = {(r["client"], r["session"]): r["path"] and r["path"].split(str(tmp_path) + "/")[1] for r in files.session_files(spark, f"file://{tmp_path}", wanted).collect()}
+    assert got == {("claude", "a"): ".claude/projects/p/a.jsonl", ("claude", "b"): ".claude/transcripts/b.jsonl", ("codex", "rollout-2026-01-02T1-x"): ".codex/sessions/2026/01/02/rollout-2026-01-02T1-x.jsonl", ("codex", "c"): ".codex/sessions/z/c.jsonl", ("codex", "a"): None, (None, None): None}
+    assert [r["path"] for r in files.session_files(spark, f"file://{tmp_path}/none", wanted).collect()] == [None] * 6
+
+
+def test_native_sessions_from_sidecars(spark, tmp_path):
+    metas = {"a": {"id": "A", "scope": "project", "workspace_root": "/w/App/", "created_at": "2026-01-01T00:00:00Z", "schema_version": 1, "turns": 3}, "b": {"branch": {"ID": "B"}, "turns": 3}, "c": {"id": "C"}, "d": {"id": "D"}, "e": {"name": "no id"}, "f": {"id": "F"}}
+    for stem, meta in metas.items():
+        (tmp_path / f"{stem}{files.META}").write_text(json.dumps(meta))
+    for stem, usage in {"a": {"totalTokens": 10.4, "prompt_tokens": 7}, "b": {"promptTokens": 1}, "d": {"total_tokens": 5}, "e": {"totalTokens": 1}}.items():
+        (tmp_path / f"{stem}{files.TELEMETRY}").write_text(json.dumps(usage))
+    (tmp_path / f"b{files.EVENTS}").write_text("{}")
+    found = files.sidecars(spark, str(tmp_path))
+    folder = found[files.EVENTS].first()["folder"]
+    logs = spark.createDataFrame([(folder, "b", 2, None), (folder, "d", None, None)], "folder string, stem string, messages long, last_message_at timestamp")
+    out = files.native_sessions(found[files.META], found[files.TELEMETRY], logs).select("session", "scope", "project_label", "total", "prompt", "turns", "messages")
+    assert rows(out) == [("reasonix:A", "project", "App", 10, 7, 3, None), ("reasonix:B", "global", None, None, None, None, 2)]
+

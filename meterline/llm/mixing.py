@@ -7,12 +7,12 @@
    documents and bins are counted on the other, so that posteriors aren't overconfident. The classifier is fitted on at most about
    MOST_LABELS labelled documents, picked by a hash of the id; beyond that bound more labels would only be a larger table to broadcast.
 2. A document with n words has n * p(domain) expected words in each domain. Rates w >= 0, one a document, are fitted so that the
-   expected totals sum(w * n * p) equal the targets: least squares by projected gradient. The error is measured in the inverse of
-   G = sum(n p p'), and steps in the metric of n. A step is scaled by the inverse of G over the documents whose rate isn't 0, which are those that can
-   give way; it meets targets within reach in a few steps. Should the error grow, steps are scaled by the inverse of the whole G from then on (the step 1 is
-   the inverse of the largest curvature), and accelerated. Rates start at 1, so among solutions those near 1 are found.
-3. A step needs one sum over all documents of a few numbers for each pair of domains. A document's rate is a fold over the steps' small
-   vectors, written every FOLD steps, so a lost executor costs one sum.
+   expected totals sum(w * n * p) equal the targets: least squares by projected gradient, with its lazy projection: rates are
+   max(0, 1 - p u) for the sum u of all steps, so of rates that meet the targets those nearest to 1 (weighed by n) are found. A step is the gradient,
+   scaled by the inverse of sum(n p p') over the documents whose rate isn't 0, which are those that can give way; it is halved until the objective falls
+   as it should, so no step can run away. DAMPING weighs distance from 1 against distance from the targets; it keeps the answer unique.
+3. A step needs one sum over all documents of a few numbers for each pair of domains. A document's rate follows from u alone, so steps write
+   nothing, and a lost executor costs part of one sum.
 
 Only DataFrame functions are used; the driver holds vectors of as many numbers as there are domains.
 
@@ -33,7 +33,9 @@ from .common import cut
 DOMAINS = ("high_quality", "low_quality", "toxic")
 #: Shares of all words; totals within CLOSE of all words are met.
 TARGETS = {"high_quality": 0.85, "low_quality": 0.12, "toxic": 0.03}
-BINS, STEPS, FOLD, CLOSE = 12, 60, 10, 1e-6
+BINS, STEPS, CLOSE = 12, 60, 1e-6
+#: How much rates far from 1 count against totals far from the targets, a share of all words.
+DAMPING = 1e-10
 BUCKETS, LLR, CAP, MOST_LABELS = 1 << 15, 20.0, 4.0, 40_000
 
 
@@ -131,60 +133,58 @@ def _dot(p: Column, u: Column) -> Column:
     return out
 
 
-def _start() -> Column:
-    return F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("y"))
-
-
-def _after(state: Column, p: Column, steps: list[list[float]]) -> Column:
-    """A document's state after the steps: the rate w, and y, the point ahead of it at which the next gradient is taken."""
-    if not steps:
-        return state
-    vectors = F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in steps])
+def rate(p: Column, steps: list[list[float]]) -> Column:
+    """A document's rate after the steps, vectors with their momentum, which is 0 here: from 1 on, each projected on rates >= 0."""
+    w = F.lit(1.0)
+    for *u, _ in steps:
+        w = F.greatest(F.lit(0.0), w - _dot(p, F.array(*[F.lit(float(x)) for x in u])))
+    return w
 
-    def step(s: Column, u: Column) -> Column:
-        w = F.greatest(F.lit(0.0), s["y"] - _dot(p, u))
-        return F.struct(w.alias("w"), (w + F.get(u, F.lit(len(DOMAINS))) * (w - s["w"])).alias("y"))
 
-    return F.aggregate(vectors, state, step)
+def descend(measure, wanted):
+    """All steps as one vector u, and how far off the totals stay, from measure(u): for rates max(0, 1 - p u) the totals of the domains, sum(n p p') over rates that aren't 0, and sum(n rate^2).
 
+    Each step is the gradient scaled by the inverse of that matrix and DAMPING; it is halved until the objective falls as it should.
+    """
+    import numpy as np
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the steps."""
-    return _after(_start(), p, steps)["w"]
+    size, wanted = max(1.0, float(np.sum(wanted))), np.array(wanted, float)
+    u, part, best = np.zeros(len(wanted)), 1.0, None
+    step = slope = None
+    for _ in range(STEPS):
+        totals, free, squares = measure(u)
+        off = totals - wanted
+        value = float(wanted @ u + squares / 2 + DAMPING * size * (u @ u) / 2)
+        residual = float(np.abs(off).max() / size)
+        if best is not None and part > 1e-6 and value > best[0] - 1e-4 * part * slope:
+            part /= 2
+            u = best[1] + part * step
+            continue
+        best = value, u, residual
+        gradient = off - DAMPING * size * u
+        if np.abs(gradient).max() <= CLOSE * size / 10:
+            break
+        step, part = np.linalg.solve(np.array(free, float) + DAMPING * size * np.eye(len(wanted)), gradient), 1.0
+        slope = float(gradient @ step)
+        u = u + step
+    return best[1], best[2]
 
 
 def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[list[list[float]], float]:
-    """The steps of the projected gradient for documents with columns n and p, to expected totals of `targets` words, and how far off the totals stay.
-
-    Accelerated steps start their acceleration anew when the error grows. Every FOLD steps the states are written, so that
-    folds stay short.
-    """
+    """The projected gradient's steps as one, for documents with columns n and p, to expected totals of `targets` words, and how far off the totals stay. A step is one sum over all documents."""
     import numpy as np
 
     k = range(len(DOMAINS))
     n, p = F.col("n"), F.col("p")
-    sums = rows.agg(*[F.coalesce(F.sum(n * F.get(p, F.lit(i)) * F.get(p, F.lit(j))), F.lit(0.0)) for i in k for j in k]).first()
-    inverse = np.linalg.pinv(np.array(sums, float).reshape(len(DOMAINS), len(DOMAINS)), rcond=1e-9, hermitian=True)
-    wanted, steps, recent, age, idle, least, scaled = np.array(targets, float), [], [], 0, 0, float("inf"), True
-    states = rows.withColumn("state", _start())
-    while True:
-        if len(recent) == FOLD:
-            states, recent = cut(states.select("n", "p", _after(F.col("state"), p, recent).alias("state")), "rates"), []
-        s = states.select("n", "p", _after(F.col("state"), p, recent).alias("s"))
-        free = [F.coalesce(F.sum(F.when(F.col("s.w") > 0, n * F.get(p, F.lit(i)) * F.get(p, F.lit(j)))), F.lit(0.0)) for i in k for j in k]
-        sums = np.array(s.agg(*[F.coalesce(F.sum(F.col(f"s.{c}") * n * F.get(p, F.lit(i))), F.lit(0.0)) for c in "wy" for i in k], *free).first(), float)
-        off, ahead = sums[: 2 * len(DOMAINS)].reshape(2, len(DOMAINS)) - wanted
-        residual = float(np.abs(off).max() / max(1.0, wanted.sum()))
-        error = float(off @ inverse @ off)
-        idle = idle + 1 if error > least * (1 - 1e-3) else 0
-        if residual <= CLOSE or idle == FOLD or len(steps) == STEPS:  # met, or as near as it gets
-            return steps, residual
-        scaled = scaled and error <= least
-        age = 0 if scaled or error > least else age + 1
-        least = error
-        step = np.linalg.pinv(sums[2 * len(DOMAINS) :].reshape(len(DOMAINS), len(DOMAINS)), rcond=1e-9, hermitian=True) if scaled else inverse
-        steps.append([*(step @ ahead).tolist(), 0.0 if scaled else age / (age + 3.0)])
-        recent = [*recent, steps[-1]]
+
+    def measure(u):
+        w = rate(p, [[*u, 0.0]])
+        sums = [F.sum(w * n * F.get(p, F.lit(i))) for i in k] + [F.sum(F.when(w > 0, n * F.get(p, F.lit(i)) * F.get(p, F.lit(j)))) for i in k for j in k] + [F.sum(n * w * w)]
+        got = np.array(rows.agg(*[F.coalesce(x, F.lit(0.0)) for x in sums]).first(), float)
+        return got[: len(DOMAINS)], got[len(DOMAINS) : -1].reshape(len(DOMAINS), len(DOMAINS)), got[-1]
+
+    u, residual = descend(measure, targets)
+    return [[*map(float, u), 0.0]], residual
 
 
 def mix(documents: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

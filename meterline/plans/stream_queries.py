@@ -28,8 +28,8 @@ def stream_dedup(spark, d):
 
 
 def burn_samples(spark, d):
-    """Each user's events of a type as readings of a window."""
-    events = K.event_stream(spark, d)
+    """Each user's events of a type as readings of a window. Files are in no order of time, so one batch takes all: a later one's older samples would be void."""
+    events = K.event_stream(spark, d, max_files=None)
     return events.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("window"), F.unix_timestamp("ts").cast("double").alias("at"), F.col("event_id").alias("seq"), (F.floor(F.col("value") * 100 + 0.5) % 100).cast("double").alias("used"))
 
 

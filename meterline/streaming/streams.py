@@ -13,9 +13,10 @@ from ..operators.quota import RELEASE, measured
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 100) -> DataFrame:
-    """Events as a file stream, their times with a zone (watermarks need one) (K1)."""
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).parquet(f"{sf_dir}/events.parquet*")
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = 100) -> DataFrame:
+    """Events as a file stream, their times with a zone (watermarks need one) (K1). Without max_files a batch takes all files that there are."""
+    reader = spark.readStream.schema(EVENTS)
+    stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(f"{sf_dir}/events.parquet*")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -46,27 +47,30 @@ BURN_STATE = "at double, used double, rate double, resets_at string, updated_at
 def burn_rates(samples: DataFrame) -> DataFrame:
     """The burn rate of each window as keyed state: the streaming twin of quota.burn_rates (K13). Samples: window and what quota.measured takes.
 
-    A batch's samples of a window are folded in order of (at, seq); samples older than the state are void.
+    A batch's samples of a window are folded in order of (at, seq), also when they come in several frames; samples older than the state are void.
+    What a task holds at once is one window's samples of a batch.
     """
+    columns = ["at", "seq", "used", "resets_at", "updated_at"]
 
     def fold(key, frames: Iterator, state):
         import pandas as pd
 
         at, used, rate, resets_at, updated_at = state.get if state.exists else (None, None, 0.0, None, None)
-        for frame in frames:
-            for row in frame.sort_values(["at", "seq"]).itertuples():
-                if at is not None:
-                    if row.at < at or row.updated_at is not None and row.updated_at == updated_at:
-                        continue
-                    elapsed = row.at - at
-                    if row.used >= used and row.resets_at == resets_at and elapsed > 0:
-                        now = (row.used - used) / elapsed
-                        rate = now if now >= rate else RELEASE * now + (1 - RELEASE) * rate
-                at, used, resets_at, updated_at = float(row.at), float(row.used), row.resets_at, row.updated_at
+        parts = [frame[columns] for frame in frames]  # a window has several where Arrow's batches end
+        samples = parts[0] if len(parts) == 1 else pd.concat(parts)
+        for row in samples.sort_values(["at", "seq"]).itertuples():
+            if at is not None:
+                if row.at < at or row.updated_at is not None and row.updated_at == updated_at:
+                    continue
+                elapsed = row.at - at
+                if row.used >= used and row.resets_at == resets_at and elapsed > 0:
+                    now = (row.used - used) / elapsed
+                    rate = now if now >= rate else RELEASE * now + (1 - RELEASE) * rate
+            at, used, resets_at, updated_at = float(row.at), float(row.used), row.resets_at, row.updated_at
         state.update((at, used, rate, resets_at, updated_at))
         yield pd.DataFrame({"window": [key[0]], "at": [at], "used": [used], "rate": [rate]})
 
-    return measured(samples).groupBy("window").applyInPandasWithState(fold, "window string, at double, used double, rate double", BURN_STATE, "update", "NoTimeout")
+    return measured(samples).select("window", *columns).groupBy("window").applyInPandasWithState(fold, "window string, at double, used double, rate double", BURN_STATE, "update", "NoTimeout")
 
 
 def keep_latest(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:

@@ -87,6 +87,25 @@ def test_keyed_batches_merge_and_repeat_safely(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/t/v1")) == [("a", 3, 3), ("b", 1, 1), ("c", 0, 0)]
 
 
+def test_streaming_burn_state_takes_frames_and_files_in_any_order(spark, tmp_path):
+    from meterline.plans import stream_queries
+    from meterline.sources.views import table
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("event_type", F.lit("view"))
+    (tmp_path / "events.parquet").mkdir()
+    for i, descending in enumerate((True, False)):  # two files of interleaved times, the first from new to old
+        half = events.filter(F.col("event_id") % 2 == i).orderBy(F.col("ts").desc() if descending else "ts").toPandas()
+        spark.createDataFrame(half, events.schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        stream = streams.run_to_end(streams.burn_rates(stream_queries.burn_samples(spark, str(tmp_path))), "update", keys=["window"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    samples = table(spark, str(tmp_path), "events").select(F.concat(F.col("user_id").cast("string"), F.lit("|view")).alias("window"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), (F.floor(F.col("value") * 100 + 0.5) % 100).cast("double").alias("used"))
+    found = lambda rows: sorted((r["window"], r["at"], r["used"], round(r["rate"], 12)) for r in rows)
+    assert found(stream) == found(quota.burn_rates(samples, ["window"]).collect())
+
+
 def test_burn_rate_skips_resets_repeats_and_bad_readings(spark):
     samples = [("w", 0, 1, 10.0, "a", "1", "ok"), ("w", 10, 2, 30.0, "a", "2", "ok"), ("w", 15, 3, 90.0, "a", "2", "ok"), ("w", 20, 4, 50.0, "b", "3", "ok"), ("w", 25, 5, 99.0, "b", "4", "error"), ("w", 30, 6, None, "b", "5", "ok"), ("w", 30, 7, 71.0, "b", "6", "ok")]
     df = spark.createDataFrame(samples, "window string, at long, seq long, used double, resets_at string, updated_at string, status string")

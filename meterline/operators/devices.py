@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,15 +144,19 @@ FULL_SCAN_S = 60 * 60
 def scan_plan(ticks: DataFrame, keys: Sequence[str], full_s: int = FULL_SCAN_S) -> DataFrame:
     """What each tick of an interval does: 'full' first and when the last full scan is full_s old, 'anchored' if something changed since the tick before, else 'skip' (K4).
 
-    Ticks: the keys, at (seconds), and changed. A key's ticks are folded in order; they are bounded by the time that a key covers, so days belong into it.
+    Ticks: the keys, at (seconds), and changed; of ticks at one time the first is without a change, if there is one. Only the times of full scans are folded in
+    order, of a key's distinct times, which are bounded by the time that a key covers, so days belong into it; ticks meet them in a join.
     """
-    fold = F.array_sort(F.collect_list(F.struct("at", "changed")))
-    start = F.struct(F.lit(None).cast("long").alias("full_at"), F.array().cast("array<struct<at:long,scan:string>>").alias("out"))
+    rows = ticks.withColumn("at", F.col("at").cast("long"))
+    start = F.struct(F.lit(None).cast("long").alias("full_at"), F.array().cast("array<long>").alias("fulls"))
 
     def step(s: Column, t: Column) -> Column:
-        full = s["full_at"].isNull() | (t["at"] - s["full_at"] >= full_s)
-        scan = F.when(full, "full").when(F.coalesce(t["changed"], F.lit(False)), "anchored").otherwise("skip")
-        return F.struct(F.when(full, t["at"]).otherwise(s["full_at"]).alias("full_at"), F.concat(s["out"], F.array(F.struct(t["at"].alias("at"), scan.alias("scan")))).alias("out"))
-
-    rows = ticks.withColumn("at", F.col("at").cast("long")).groupBy(*keys).agg(F.aggregate(fold, start, step)["out"].alias("o"))
-    return rows.select(*keys, F.inline("o"))
+        full = s["full_at"].isNull() | (t - s["full_at"] >= full_s)
+        return F.when(full, F.struct(t.alias("full_at"), F.concat(s["fulls"], F.array(t)).alias("fulls"))).otherwise(s)
+
+    times = rows.filter("at is not null").select(*keys, "at").distinct()
+    fulls = times.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("at")), start, step)["fulls"].alias("fulls")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode("fulls").alias("_at"))
+    first = F.row_number().over(Window.partitionBy(*keys, "at").orderBy("changed")) == 1
+    met = rows.withColumn("_first", first).join(fulls, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("at") == F.col("_at")), "left")
+    full = F.col("at").isNull() | (F.col("_first") & F.col("_at").isNotNull())
+    return met.select(*keys, "at", F.when(full, "full").when(F.coalesce(F.col("changed"), F.lit(False)), "anchored").otherwise("skip").alias("scan"))

@@ -298,3 +298,23 @@ def test_native_sessions_from_sidecars(spark, tmp_path):
     out = files.native_sessions(found[files.META], found[files.TELEMETRY], logs).select("session", "scope", "project_label", "total", "prompt", "turns", "messages")
     assert rows(out) == [("reasonix:A", "project", "App", 10, 7, 3, None), ("reasonix:B", "global", None, None, None, None, 2)]
 
+
+def test_scan_plan_of_many_ticks_takes_linear_time(spark):
+    import time
+
+    ticks = spark.range(80_000).select(F.when(F.col("id") % 2 == 0, "d").alias("device"), (F.col("id") * 7919 % 80_000).alias("at"), (F.col("id") % 3 == 0).alias("changed"))
+    began = time.perf_counter()
+    got = sorted(((r["device"] or "", r["at"], r["scan"]) for r in devices.scan_plan(ticks, ["device"]).collect()))
+    assert time.perf_counter() - began < 30
+    want, full_at = [], {}
+    for device, at, changed in sorted((r["device"] or "", r["at"], r["changed"]) for r in ticks.collect()):
+        full = device not in full_at or at - full_at[device] >= devices.FULL_SCAN_S
+        full_at |= {device: at} if full else {}
+        want.append((device, at, "full" if full else "anchored" if changed else "skip"))
+    assert got == want
+
+
+def test_scan_plan_with_ticks_at_one_time_and_without_time(spark):
+    ticks = spark.createDataFrame([("a", 10, True), ("a", 10, False), ("a", 10, None), ("a", 3610, True), ("a", 3620, None), ("b", None, True), ("b", 5, True), ("b", 5, True)], "device string, at long, changed boolean")
+    got = sorted((r["device"], r["at"] or 0, r["scan"]) for r in devices.scan_plan(ticks, ["device"]).collect())
+    assert got == [("a", 10, "anchored"), ("a", 10, "full"), ("a", 10, "skip"), ("a", 3610, "full"), ("a", 3620, "skip"), ("b", 0, "full"), ("b", 5, "anchored"), ("b", 5, "full")]

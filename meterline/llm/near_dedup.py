@@ -12,7 +12,8 @@ that links reach.
 3. Nodes of at most NODE members are compared exhaustively on their minwise tokens; members that candidate links join are a
    group. A larger node compares all members with PIVOTS of them, gathers those within reach of a pivot as the pivot's ball, takes
    out those so close to one that all their partners are in its ball too (the triangle inequality of the Hamming distance of
-   minwise tokens), and branches the rest again. Work in a level is linear.
+   minwise tokens), and branches the rest again. A member that is so close to a pivot is in the balls of this and of earlier pivots only: of two
+   partners, the one with the earlier pivot has the other in its ball. Work in a level is linear.
 4. Groups, which hold at most NODE documents, are verified on full sets, a document reached meeting only those not yet
    reached. A group of over GROUP_TOKENS tokens is verified as pairs of its blocks.
 5. A ball of at most BALL members and GROUP_TOKENS tokens is verified as a group. A larger one is cut into blocks, each of
@@ -43,6 +44,8 @@ NODE, BALL, GROUP_TOKENS = 1024, 4096, 1 << 22
 AGREE = 30
 #: Of a pivot: within reach, and so close that all partners are within reach.
 REACH, CLOSE = 21, 52
+#: Documents to verify whose ids are broadcast, at most.
+MOST_BROADCAST = 2_000_000
 #: Tasks over which the neighbours of one vertex are dealt.
 SALTS = 8
 
@@ -179,9 +182,12 @@ def _large_nodes(batches):
         own, pivots = _sketches(batch.column("sketch")), batch.column("pivots")
         at = np.repeat(np.arange(len(rep)), np.diff(pivots.offsets.to_numpy()))
         pivot, agree = pivots.flatten().field("rep").to_numpy(), (own[at] == _sketches(pivots.flatten().field("sketch"))).sum(axis=1)
-        ball = np.flatnonzero(agree >= REACH)
-        leave = np.zeros(len(rep), bool)
-        leave[at[(agree >= CLOSE) | (pivot == rep[at])]] = True
+        close = (agree >= CLOSE) | (pivot == rep[at])
+        nth = np.arange(len(at)) - np.repeat(pivots.offsets.to_numpy()[:-1] - pivots.offsets.to_numpy()[0], np.diff(pivots.offsets.to_numpy()))
+        last = np.full(len(rep), PIVOTS)
+        np.minimum.at(last, at[close], nth[close])
+        ball = np.flatnonzero((agree >= REACH) & (nth <= last[at]))
+        leave = last < PIVOTS
         stay = np.flatnonzero(~leave)
         key = node[stay].view(K.U)
         children = []
@@ -328,14 +334,23 @@ def _candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | N
 def _links(groups: DataFrame, balls: DataFrame | None, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The confirmed links, as stars: rep and least."""
 
+    groups = cut(groups.distinct(), "groups")
+    asked = groups.select("rep")
+    if balls is not None:
+        balls = cut(balls, "balls")
+        asked = asked.unionByName(balls.select("rep"))
+    asked = cut(asked.distinct(), "asked")
+    texts = texts.withColumnRenamed("doc_id", "rep").filter("rep is not null")
+    few = asked.count() <= MOST_BROADCAST  # counted, not guessed: then texts without a partner are not shuffled
+    texts = cut(packed(texts.join(F.broadcast(asked), "rep", "left_semi")) if few else packed(texts).join(asked, "rep", "left_semi"), "asked-texts")  # packed once for all that is verified
+
     def verified(rows: DataFrame) -> DataFrame:
         held = rows.join(texts, "rep").select("grp", "rep", "text")
         return held.repartition("grp").sortWithinPartitions("grp").mapInArrow(_exact(shingle, percent), "grp long, rep long, least long")
 
     apart = F.col("rep") != F.col("least")
     if balls is None:
-        return verified(groups.distinct()).filter(apart).select("rep", "least")
-    balls = cut(balls, "balls")
+        return verified(groups).filter(apart).select("rep", "least")
     blocks = F.greatest(F.ceil(2 * F.col("members") / BALL), F.ceil(2 * F.col("tokens") / GROUP_TOKENS)).cast("int")
     sizes = cut(balls.groupBy("ball").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).withColumn("blocks", F.when(blocks > 2, blocks)), "ball-sizes")
     sized = balls.join(sizes.select("ball", "blocks"), "ball")
@@ -367,7 +382,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = ["n", "print1", "print2"]
     reps = cut(signed.filter("n > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "representatives")  # equal sets have equal sketches
     groups, balls = _candidates(reps, percent)
-    links = _links(groups, balls, packed(texts.filter("doc_id is not null")).withColumnRenamed("doc_id", "rep"), shingle, percent)
+    links = _links(groups, balls, texts, shingle, percent)
     least = connected(links, "rep", "least").withColumnRenamed("vertex", "rep")
     classes = cut(reps.select("rep", *prints).join(least, "rep", "left").select(*prints, F.coalesce("least", "rep").alias("least")), "classes")  # written, so that a hot class can be split in the join
     out = signed.select("doc_id", *prints).join(classes, prints, "left")

@@ -99,6 +99,42 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.components(df.limit(0)).collect() == []
 
 
+def test_members_close_to_a_pivot_stand_in_no_later_ball_and_no_partners_part():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n, base = 120, rng.integers(0, 1 << 32, near_dedup.COORDS, dtype=np.uint32)
+    own = np.tile(base, (n, 1))
+    for i in range(n):  # the first half close to all pivots, the others at any distance
+        change = rng.choice(near_dedup.COORDS, rng.integers(0, 6 if i < 60 else 34), replace=False)
+        own[i, change] = rng.integers(0, 1 << 32, len(change), dtype=np.uint32)
+    pivots = [{"rep": j, "sketch": own[j].tobytes()} for j in (3, 90, 70)]
+    kind = pa.list_(pa.struct([("rep", pa.int64()), ("sketch", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([9] * n), pa.array(range(n)), pa.array([50] * n), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([pivots] * n, kind)], ["node", "rep", "n", "sketch", "pivots"])
+    balls, stay = {}, set()
+    for out in near_dedup._large_nodes([pa.RecordBatch.from_arrays(batch.slice(50).columns, batch.schema.names), batch.slice(0, 50)]):  # also a slice
+        for r in out.to_pylist():
+            stay.add(r["rep"]) if r["ball"] is None else balls.setdefault(r["rep"], set()).add(r["ball"])
+    assert all(balls[i] == {3} for i in range(60))
+    for i in range(n):
+        for j in range(i):
+            if (own[i] == own[j]).sum() >= 33:
+                assert balls.get(i, set()) & balls.get(j, set()) or {i, j} <= stay, (i, j)
+
+
+def test_texts_without_a_candidate_are_not_packed(spark, monkeypatch):
+    written, cut = {}, near_dedup.cut
+    monkeypatch.setattr(near_dedup, "cut", lambda df, name: written.setdefault(name, cut(df, name)))
+    near = " ".join(f"n{i}" for i in range(100))
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(20)] + [(30, near), (31, near + " end")], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.components(df).collect()}
+    assert out == {i: i for i in range(20)} | {30: 30, 31: 30}
+    assert sorted(r["rep"] for r in written["asked-texts"].collect()) == [30, 31]
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST", 0)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.components(df).collect()} == out
+
+
 def test_connected_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (100, 102), (102, 100), (5, 5)]
     out = {r["vertex"]: r["least"] for r in near_dedup.connected(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -187,6 +187,9 @@ def _large_nodes(batches):
         last = np.full(len(rep), PIVOTS)
         np.minimum.at(last, at[close], nth[close])
         ball = np.flatnonzero((agree >= REACH) & (nth <= last[at]))
+        once = np.lexsort((rep[at[ball]], pivot[ball]))  # a document's nodes often have the same pivots
+        ball = ball[once]
+        ball = ball[np.append(True, (pivot[ball][1:] != pivot[ball][:-1]) | (rep[at[ball]][1:] != rep[at[ball]][:-1]))] if len(ball) else ball
         leave = last < PIVOTS
         stay = np.flatnonzero(~leave)
         key = node[stay].view(K.U)
@@ -323,7 +326,7 @@ def _candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | N
             break
         large = once.filter(F.col("n_members") > NODE).select("node", F.explode(F.array(*of_node[2:])).alias("rep")).filter("rep is not null")
         pivots = cut(large.join(reps.select("rep", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("pivots")), "pivots")  # at most PIVOTS a node
-        level = cut(rows.join(pivots, "node").join(reps.select("rep", "n", "sketch"), "rep").select("node", "rep", "n", "sketch", "pivots").mapInArrow(_large_nodes, "node long, ball long, rep long, n long"), "level")
+        level = cut(rows.join(pivots, "node").join(reps.select("rep", "n", "sketch").hint("merge"), "rep").select("node", "rep", "n", "sketch", "pivots").mapInArrow(_large_nodes, "node long, ball long, rep long, n long"), "level")
         balls.append(level.filter("ball is not null").select("ball", "rep", "n"))
         rows = level.filter("ball is null").select("node", "rep")
     members = reduce(DataFrame.unionByName, small).join(reps, "rep").select("node", "rep", "n", "sketch")

@@ -4,7 +4,7 @@
    orientation is that of its patch's intensity centroid; BITS binary tests between points of the patch, turned by the orientation,
    are its descriptor. Tests compare brightness only, so gain and offset don't change them.
 2. Hamming-table join: a descriptor is cut into TABLES chunks, and descriptors with an equal chunk meet in the join on (table, chunk).
-   They match if at most FAR bits differ. The queries' tables are broadcast if a count finds them small; else keys alone are shuffled, and
+   They match if at most FAR bits differ; in the broadcast join two corners meet in their first equal chunk only. The queries' tables are broadcast if a count finds them small; else keys alone are shuffled, and
    descriptors follow for the corners that met. Descriptors that differ in fewer than TABLES bits always meet; others meet with a probability that
    falls with the distance, and an image needs only some of its corners to meet. The README gives the recall by kind of edit.
 3. Geometric consensus: a pair of images that shares MOST_VOTES or more distinct corners goes on. Its matched corners vote for turn, scale and
@@ -131,6 +131,15 @@ def _classes(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.join(members, "print").filter("id = image").dropDuplicates(["image"]).select("image", "width", "height", "pixels"), ids
 
 
+def _first_table():
+    """The first table in which the descriptors d and q_d of a joined row have an equal chunk: two corners count there only, not once a table."""
+    found = F.lit(None).cast("long")
+    for i in reversed(range(TABLES)):
+        differ = F.col(f"d{i // 2}").bitwiseXOR(F.col(f"q_d{i // 2}"))
+        found = F.when((F.shiftrightunsigned(differ, 32) if i % 2 else differ.bitwiseAND(F.lit((1 << 32) - 1))) == 0, F.lit(i).cast("long")).otherwise(found)
+    return found
+
+
 def _keys(corners: DataFrame) -> DataFrame:
     """A row for each table: its number and chunk as one key."""
     chunk = lambda i: F.shiftrightunsigned(F.col(f"d{i // 2}"), 32) if i % 2 else F.col(f"d{i // 2}").bitwiseAND(F.lit((1 << 32) - 1))
@@ -171,7 +180,7 @@ def find_copies(queries: DataFrame, images: DataFrame, carry_votes: int = MOST_V
     distance = sum((F.bit_count(F.col(f"q_{k}").bitwiseXOR(F.col(k))) for k in bits), F.lit(0))
     if q.count() * TABLES <= MOST_BROADCAST:  # counted, not guessed: then the images' corners, the larger side, are not shuffled
         left = _keys(q).select("key", *[F.col(c).alias(f"q_{c}") for c in ("image", "corner", *bits)])
-        near = _keys(i).join(F.broadcast(left), "key").filter(distance <= FAR).drop("key", *[f"q_{k}" for k in bits], *bits).distinct()
+        near = _keys(i).join(F.broadcast(left), "key").filter((distance <= FAR) & (F.shiftright("key", 32) == _first_table())).drop("key", *[f"q_{k}" for k in bits], *bits)
         met = near.join(asked.drop(*[f"q_{k}" for k in bits]), own)
     else:
         left = _keys(q).select("key", *[F.col(c).alias(f"q_{c}") for c in ("image", "corner")])

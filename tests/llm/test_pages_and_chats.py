@@ -475,3 +475,20 @@ def test_copies_equal_brute_force(spark):
     rows = lambda d: spark.createDataFrame([(i, x.shape[1], x.shape[0], x.tobytes()) for i, x in d.items()], ddl)
     got = {(r["query_id"], r["match_id"]) for r in image_copies.find_copies(rows(queries), rows(images)).collect()}
     assert got == want and len(want) > 15
+
+
+def test_corners_that_meet_in_several_tables_are_joined_once(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(1 << 63), 1 << 63, 4)
+    rows = [[int(x) for x in base]]
+    for bits in ([0], [40, 70], [1, 33, 65, 97, 129, 161, 193], [b * 32 for b in range(8)]):  # chunks that differ
+        row = [int(x) & (1 << 64) - 1 for x in base]
+        for b in bits:
+            row[b // 64] ^= 1 << b % 64
+        rows.append([x - (1 << 64) if x >> 63 else x for x in row])
+    images = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "image long, d0 long, d1 long, d2 long, d3 long")
+    queries = image_copies._keys(images.filter("image = 0")).select("key", *[F.col(f"d{k}").alias(f"q_d{k}") for k in range(4)])
+    met = image_copies._keys(images).join(queries, "key").filter(F.shiftright("key", 32) == image_copies._first_table())
+    assert sorted(r["image"] for r in met.collect()) == [0, 1, 2, 3]

@@ -300,9 +300,9 @@ def main_text(html: str, main: str | None, constant: frozenset[int] = frozenset(
     runs = segments(html)
     inside = lambda path: path == main or path.startswith(main + ">")
     if not main or not any(inside(p) and not x and t.strip() for p, x, _, t in runs):
-        holds = [bool({"article", "main"} & {y.partition(".")[0] for y in p.split(">")}) for p, _, _, _ in runs]
-        some = any(h and not x and t.strip() for h, (_, x, _, t) in zip(holds, runs))
-        runs = [r for h, r in zip(holds, runs) if h or not some]
+        holds = {p: bool({"article", "main"} & {y.partition(".")[0] for y in p.split(">")}) for p in {r[0] for r in runs}}  # a path is long, and has many runs
+        some = any(holds[p] and not x and t.strip() for p, x, _, t in runs)
+        runs = [r for r in runs if holds[r[0]] or not some]
     else:
         runs = [r for r in runs if inside(r[0])]
     out, block, last = [], [], ""

@@ -46,6 +46,8 @@ AGREE = 30
 REACH, CLOSE = 21, 52
 #: Documents to verify whose ids are broadcast, at most.
 MOST_BROADCAST = 2_000_000
+#: Rows (node, document) that are broadcast to the sketches, at most; more are joined with them by shuffle.
+MOST_ROWS = 500_000
 #: Tasks over which the neighbours of one vertex are dealt.
 SALTS = 8
 
@@ -294,46 +296,62 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The components of a graph of links: each linked vertex with the least vertex that it reaches.
 
     In a round every vertex hangs on the least neighbour of its neighbour (which halves paths), then all neighbours of a vertex on
-    the least one. Rounds end when no link changes. Each round's links are written, so that a lost executor costs one
-    round. The larger neighbours of one vertex are dealt over SALTS tasks.
+    the least one. Rounds end when all components are stars: then no link would change. Each round's links are written, so
+    that a lost executor costs one round. The larger neighbours of one vertex are dealt over SALTS tasks.
     """
     links = cut(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct(), "links")
+    end = lambda x, below: F.struct(F.col(x).alias("v"), F.lit(below).alias("below"))
     while True:
+        ends = links.select(F.explode(F.array(end("a", 0), end("b", 1))).alias("x")).select("x.*")
+        if ends.groupBy("v").agg(F.sum("below").alias("below"), F.count(F.lit(1)).alias("n")).filter("below > 0 and n > 1").isEmpty():
+            return links.select(F.col("b").alias("vertex"), F.col("a").alias("least"))
         parent = links.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))
         parent = parent.select("v", "p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         dealt = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-        hung = dealt.join(parent, (F.col("a") == F.col("v")) & (dealt["salt"] == parent["salt"]), "left").select(F.coalesce("p", "a").alias("a"), "b", F.col("p").isNotNull().alias("moved"))
-        hung = hung.withColumn("m", F.min("a").over(Window.partitionBy("b"))).withColumn("changed", F.col("moved") | (F.col("m") != F.col("a")))
+        hung = dealt.join(parent, (F.col("a") == F.col("v")) & (dealt["salt"] == parent["salt"]), "left").select(F.coalesce("p", "a").alias("a"), "b")
+        hung = hung.withColumn("m", F.min("a").over(Window.partitionBy("b")))
         pair = lambda x: F.struct(F.col("m").alias("a"), F.col(x).alias("b"))
-        found = hung.select(F.explode(F.array(pair("b"), pair("a"))).alias("x"), "changed").select("x.*", "changed").filter("a < b")
-        found = cut(found.groupBy("a", "b").agg(F.max("changed").alias("changed")), "links")
-        links = found.select("a", "b")
-        if found.filter("changed").isEmpty():
-            return links.select(F.col("b").alias("vertex"), F.col("a").alias("least"))
+        links = cut(hung.select(F.explode(F.array(pair("b"), pair("a"))).alias("x")).select("x.*").filter("a < b").distinct(), "links")
 
 
 def _candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Of all trees, level by level, the groups (grp, rep) and the balls (ball, rep, n; None if no node is large)."""
-    small, balls = [], []
+    small, balls, in_small = [], [], 0
     rows = reps.select("rep", "sketch").mapInArrow(_roots, "node long, rep long")
     pivot = [F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)) == j, F.col("rep"))).alias(f"pivot{j}") for j in range(PIVOTS)]
     of_node = ["n_members", "members", *[f"pivot{j}" for j in range(PIVOTS)]]
     while True:
-        nodes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n_members"), F.bit_xor(F.xxhash64("rep")).alias("members"), *pivot).filter("n_members > 1"), "nodes")
-        once = nodes.groupBy(*of_node).agg(F.min("node").alias("node"))  # of nodes with the same members, one
-        small.append(rows.join(once.filter(F.col("n_members") <= NODE).select("node"), "node").select("node", "rep"))
-        if nodes.filter(F.col("n_members") > NODE).isEmpty():
+        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n_members"), F.bit_xor(F.xxhash64("rep")).alias("members"), *pivot).filter("n_members > 1")
+        nodes = cut(nodes.groupBy(*of_node).agg(F.min("node").alias("node")), "nodes")  # of nodes with the same members, one
+        held = nodes.agg(*[F.coalesce(F.sum(F.when(F.col("n_members") > NODE, F.col("n_members") * x).otherwise(F.col("n_members") * (1 - x))), F.lit(0)) for x in (0, 1)]).first()  # rows in small and in large nodes
+        ids = nodes.filter(F.col("n_members") <= NODE).select("node")
+        small.append(rows.join(F.broadcast(ids) if held[0] <= MOST_ROWS else ids, "node").select("node", "rep"))
+        in_small += held[0]
+        if not held[1]:
             break
-        large = once.filter(F.col("n_members") > NODE).select("node", F.explode(F.array(*of_node[2:])).alias("rep")).filter("rep is not null")
-        pivots = cut(large.join(reps.select("rep", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("pivots")), "pivots")  # at most PIVOTS a node
-        level = cut(rows.join(pivots, "node").join(reps.select("rep", "n", "sketch").hint("merge"), "rep").select("node", "rep", "n", "sketch", "pivots").mapInArrow(_large_nodes, "node long, ball long, rep long, n long"), "level")
+        level = _of_large(rows, nodes.filter(F.col("n_members") > NODE), of_node[2:], reps, held[1] <= MOST_ROWS)
+        level = cut(level.mapInArrow(_large_nodes, "node long, ball long, rep long, n long"), "level")
         balls.append(level.filter("ball is not null").select("ball", "rep", "n"))
         rows = level.filter("ball is null").select("node", "rep")
-    members = reduce(DataFrame.unionByName, small).join(reps, "rep").select("node", "rep", "n", "sketch")
+    members = reduce(DataFrame.unionByName, small)
+    members = reps.join(F.broadcast(members) if in_small <= MOST_ROWS else members, "rep").select("node", "rep", "n", "sketch")
     groups = members.repartition("node").sortWithinPartitions("node").mapInArrow(_small_nodes(percent), "grp long, rep long")
     return groups, reduce(DataFrame.unionByName, balls).distinct() if balls else None
 
 
+def _of_large(rows: DataFrame, large: DataFrame, pivots: list[str], reps: DataFrame, few: bool) -> DataFrame:
+    """The rows of large nodes with sketch and pivots, at most PIVOTS a node. If they are few, they go to the sketches, which then are not shuffled."""
+    asked = large.select("node", F.explode(F.array(*pivots)).alias("rep")).filter("rep is not null")
+    found = reps.select("rep", "sketch").join(F.broadcast(asked) if few else asked, "rep")
+    found = found.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rep", "sketch"))).alias("pivots"))
+    if few:
+        rows = rows.join(F.broadcast(large.select("node")), "node", "left_semi")
+        out = reps.select("rep", "n", "sketch").join(F.broadcast(rows), "rep").join(F.broadcast(found), "node")
+    else:
+        out = rows.join(cut(found, "pivots"), "node").join(reps.select("rep", "n", "sketch").hint("merge"), "rep")
+    return out.select("node", "rep", "n", "sketch", "pivots")
+
+
 def _links(groups: DataFrame, balls: DataFrame | None, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The confirmed links, as stars: rep and least."""
 
@@ -342,9 +360,12 @@ def _links(groups: DataFrame, balls: DataFrame | None, texts: DataFrame, shingle
     if balls is not None:
         balls = cut(balls, "balls")
         asked = asked.unionByName(balls.select("rep"))
-    asked = cut(asked.distinct(), "asked")
-    texts = texts.withColumnRenamed("doc_id", "rep").filter("rep is not null")
     few = asked.count() <= MOST_BROADCAST  # counted, not guessed: then texts without a partner are not shuffled
+    asked = asked.distinct()
+    if not few:  # with repeats; without them?
+        asked = cut(asked, "asked")
+        few = asked.count() <= MOST_BROADCAST
+    texts = texts.withColumnRenamed("doc_id", "rep").filter("rep is not null")
     texts = cut(packed(texts.join(F.broadcast(asked), "rep", "left_semi")) if few else packed(texts).join(asked, "rep", "left_semi"), "asked-texts")  # packed once for all that is verified
 
     def verified(rows: DataFrame) -> DataFrame:
@@ -355,13 +376,14 @@ def _links(groups: DataFrame, balls: DataFrame | None, texts: DataFrame, shingle
     if balls is None:
         return verified(groups).filter(apart).select("rep", "least")
     blocks = F.greatest(F.ceil(2 * F.col("members") / BALL), F.ceil(2 * F.col("tokens") / GROUP_TOKENS)).cast("int")
-    sizes = cut(balls.groupBy("ball").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).withColumn("blocks", F.when(blocks > 2, blocks)), "ball-sizes")
-    sized = balls.join(sizes.select("ball", "blocks"), "ball")
-    groups = groups.unionByName(sized.filter("blocks is null").select(F.xxhash64("ball").alias("grp"), "rep"))
-    links = verified(groups.distinct()).filter(apart).select("rep", "least")
-    if sizes.filter("blocks is not null").isEmpty():
+    sizes = balls.groupBy("ball").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    sizes = cut(sizes.withColumn("blocks", blocks).filter("blocks > 2").select("ball", "blocks"), "large-balls")
+    cut_up = not sizes.isEmpty()
+    whole = balls.join(sizes, "ball", "left_anti") if cut_up else balls
+    links = verified(groups.unionByName(whole.select(F.xxhash64("ball").alias("grp"), "rep"))).filter(apart).select("rep", "least")
+    if not cut_up:
         return links
-    large = sized.filter("blocks is not null").select("ball", "blocks", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
+    large = balls.join(sizes, "ball").select("ball", "blocks", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pivots = large.select("ball", "blocks").distinct().select("ball", F.col("ball").alias("rep"), every.alias("own"))
     units = large.select("ball", "rep", "own").unionByName(pivots).distinct().withColumn("grp", F.xxhash64("ball", "own"))
@@ -370,7 +392,7 @@ def _links(groups: DataFrame, balls: DataFrame | None, texts: DataFrame, shingle
     rest = first.join(reached, "grp").filter(F.col("least") != F.col("pivot_least")).select("ball", "rep").distinct()  # those that don't reach the pivot in their block
     rest = cut(rest, "ball-rest")
     parts = rest.groupBy("ball").agg(F.ceil(2 * F.count(F.lit(1)) / BALL).cast("int").alias("parts"))
-    one = rest.join(parts, "ball").join(sizes.select("ball", "blocks"), "ball").select("ball", "rep", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int").alias("part"), every.alias("own"))
+    one = rest.join(parts, "ball").join(sizes, "ball").select("ball", "rep", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int").alias("part"), every.alias("own"))
     other = large.join(parts, "ball").select("ball", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
     meet = one.unionByName(other).select(F.xxhash64("ball", "part", "own", F.lit(1)).alias("grp"), "rep").distinct()
     return links.unionByName(first.filter(apart).select("rep", "least")).unionByName(verified(meet).filter(apart).select("rep", "least"))

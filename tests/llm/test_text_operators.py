@@ -135,6 +135,27 @@ def test_texts_without_a_candidate_are_not_packed(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.components(df).collect()} == out
 
 
+def test_few_rows_of_large_nodes_meet_the_sketches_without_a_shuffle(spark, monkeypatch):
+    written, cut = [], near_dedup.cut
+    monkeypatch.setattr(near_dedup, "cut", lambda df, name: written.append(name) or cut(df, name))
+    monkeypatch.setattr(near_dedup, "NODE", 4)
+    rows = corpus(5)
+    out = lambda: {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.components(spark.createDataFrame(rows, DDL)).collect()}
+    assert out() == brute_components(rows, 5)
+    assert "level" in written and not {"pivots", "asked"} & set(written)
+    monkeypatch.setattr(near_dedup, "MOST_ROWS", 0)
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST", 0)
+    assert out() == brute_components(rows, 5)
+    assert {"pivots", "asked"} <= set(written)
+
+
+def test_stars_are_components_without_a_round(spark, monkeypatch):
+    written, cut = [], near_dedup.cut
+    monkeypatch.setattr(near_dedup, "cut", lambda df, name: written.append(name) or cut(df, name))
+    out = {r["vertex"]: r["least"] for r in near_dedup.connected(spark.createDataFrame([(1, 2), (3, 1), (1, 2), (7, 8)], "a long, b long")).collect()}
+    assert out == {2: 1, 3: 1, 8: 7} and len(written) == 1
+
+
 def test_connected_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (100, 102), (102, 100), (5, 5)]
     out = {r["vertex"]: r["least"] for r in near_dedup.connected(spark.createDataFrame(links, "a long, b long")).collect()}
